@@ -6,7 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import _base, mixing, sharding
+from gridloom.llm import _base, mixing, packing, sharding
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_base.table(spark, sf_dir, "documents"))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,8 +22,8 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_mixing": op5_mixing, "op7_sharding": op7_sharding}
+    return {"op1_packing": op1_packing, "op5_mixing": op5_mixing, "op7_sharding": op7_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": mixing.SQL}
+    return {"op1_packing": op1_packing, "op5_mixing": mixing.SQL}
