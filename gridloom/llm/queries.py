@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import _base, mixing, packing, sharding
+from gridloom.llm import _base, mixing, packing, quality, sharding
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,8 +21,12 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_bytes(_base.table(spark, sf_dir, "documents"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_base.table(spark, sf_dir, "documents"), _base.table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op5_mixing": op5_mixing, "op7_sharding": op7_sharding}
+    return {"op1_packing": op1_packing, "op5_mixing": op5_mixing, "op7_sharding": op7_sharding, "op8_quality": op8_quality}
 
 
 def oracle_sql() -> dict[str, str]:
