@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import _base, mixing, packing, quality, sharding
+from gridloom.llm import _base, mixing, packing, quality, sharding, toxicity
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_base.table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(_base.table(spark, sf_dir, "documents"), _base.table(spark, sf_dir, "labels"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sizes(_base.table(spark, sf_dir, "documents"))
 
@@ -26,8 +30,8 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op5_mixing": op5_mixing, "op7_sharding": op7_sharding, "op8_quality": op8_quality}
+    return {"op1_packing": op1_packing, "op3_toxicity": op3_toxicity, "op5_mixing": op5_mixing, "op7_sharding": op7_sharding, "op8_quality": op8_quality}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_packing": op1_packing, "op5_mixing": mixing.SQL}
+    return {"op5_mixing": mixing.SQL}
