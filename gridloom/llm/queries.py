@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import _base, mixing, packing, quality, sharding, toxicity
+from gridloom.llm import _base, mixing, packing, quality, repeats, sharding, toxicity
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,8 +29,12 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_base.table(spark, sf_dir, "documents"), _base.table(spark, sf_dir, "labels"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.report(_base.table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op3_toxicity": op3_toxicity, "op5_mixing": op5_mixing, "op7_sharding": op7_sharding, "op8_quality": op8_quality}
+    return {"op1_packing": op1_packing, "op3_toxicity": op3_toxicity, "op5_mixing": op5_mixing, "op7_sharding": op7_sharding, "op8_quality": op8_quality, "op9_suffix_dedup": op9_suffix_dedup}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -73,6 +73,7 @@ def _partials(k: int):
 def assign(groups: DataFrame, shards: int = SHARDS) -> DataFrame:
     """groups: h long, bytes long, one row each. Returns h, shard. Groups are differenced in tasks of some GROUPS by their
     hash; what they come to is combined by the same rule, FAN_IN at a time, until one partition is left."""
+    _base.prepare(groups.sparkSession)
     n = groups.count()
     nodes = max(1, -(-n // GROUPS))
     placed = _base.staged(
