@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import _base, mixing, packing, quality, repeats, sharding, toxicity
+from gridloom.llm import _base, mixing, near, packing, quality, repeats, sharding, toxicity
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sizes(_base.table(spark, sf_dir, "documents"))
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_duplicates(_base.table(spark, sf_dir, "documents"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_bytes(_base.table(spark, sf_dir, "documents"))
 
@@ -34,7 +38,7 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op3_toxicity": op3_toxicity, "op5_mixing": op5_mixing, "op7_sharding": op7_sharding, "op8_quality": op8_quality, "op9_suffix_dedup": op9_suffix_dedup}
+    return {"op1_packing": op1_packing, "op3_toxicity": op3_toxicity, "op5_mixing": op5_mixing, "op6_minhash": op6_minhash, "op7_sharding": op7_sharding, "op8_quality": op8_quality, "op9_suffix_dedup": op9_suffix_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
