@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import _base, mixing, near, packing, quality, repeats, sharding, toxicity
+from gridloom.llm import _base, hmm, mixing, near, packing, quality, repeats, sharding, toxicity
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_base.table(spark, sf_dir, "documents"))
 
 
+def op10_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(_base.table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(_base.table(spark, sf_dir, "documents"), _base.table(spark, sf_dir, "labels"))
 
@@ -38,7 +42,7 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op3_toxicity": op3_toxicity, "op5_mixing": op5_mixing, "op6_minhash": op6_minhash, "op7_sharding": op7_sharding, "op8_quality": op8_quality, "op9_suffix_dedup": op9_suffix_dedup}
+    return {"op1_packing": op1_packing, "op3_toxicity": op3_toxicity, "op5_mixing": op5_mixing, "op6_minhash": op6_minhash, "op7_sharding": op7_sharding, "op8_quality": op8_quality, "op9_suffix_dedup": op9_suffix_dedup, "op10_hmm": op10_hmm}
 
 
 def oracle_sql() -> dict[str, str]:
