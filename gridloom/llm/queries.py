@@ -6,13 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import _base, hmm, mixing, near, packing, quality, repeats, sharding, toxicity
+from gridloom.llm import _base, ann, exact, hmm, mixing, near, packing, quality, repeats, sharding, toxicity
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_base.table(spark, sf_dir, "documents"))
 
 
+def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(_base.table(spark, sf_dir, "embeddings"))
+
+
+def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.search(_base.table(spark, sf_dir, "embeddings"))
+
+
 def op10_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score(_base.table(spark, sf_dir, "documents"))
 
@@ -42,8 +50,8 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op3_toxicity": op3_toxicity, "op5_mixing": op5_mixing, "op6_minhash": op6_minhash, "op7_sharding": op7_sharding, "op8_quality": op8_quality, "op9_suffix_dedup": op9_suffix_dedup, "op10_hmm": op10_hmm}
+    return {"op1_packing": op1_packing, "op2_ann": op2_ann, "op3_toxicity": op3_toxicity, "op4_exact_topk": op4_exact_topk, "op5_mixing": op5_mixing, "op6_minhash": op6_minhash, "op7_sharding": op7_sharding, "op8_quality": op8_quality, "op9_suffix_dedup": op9_suffix_dedup, "op10_hmm": op10_hmm}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": mixing.SQL}
+    return {"op4_exact_topk": exact.SQL, "op5_mixing": mixing.SQL}
