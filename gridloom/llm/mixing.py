@@ -68,9 +68,9 @@ def mix(docs: DataFrame, most: int = MOST, seed: str = SEED) -> DataFrame:
     """The mix itself: each row of docs as often as it is copied, with all its columns."""
     names = docs.columns
     sizes = _base.staged(docs.select("source", size_of().alias("size")), "mix-sizes")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col("doc_id"), F.col("source"))
-    out = copies(rows, source_targets(sizes, most), seed)
-    return out.select("_row", F.explode(F.sequence(F.lit(1), F.greatest(F.col("copies"), F.lit(1)))).alias("_copy"), "copies").filter(F.col("copies") > 0).select("_row.*")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), "doc_id", "source")
+    out = copies(rows, source_targets(sizes, most), seed).filter(F.col("copies") > 0)
+    return out.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_row.*")
 
 
 SQL = """
