@@ -10,7 +10,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch that goes to Python: bounds a worker's memory when texts are long.
@@ -43,16 +43,34 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """df written once to the shared folder and read again: cuts the lineage and outlives lost executors."""
+    """df written once to the shared folder and read again: cuts the lineage and outlives lost executors. Counts the rows as it
+    writes them; rows() has the count."""
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    out._staged_rows, out._staged_at = int(seen.get["n"]), at
+    return out
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Deletes staged tables that nothing reads any more: what followed from them is written itself."""
+    for df in tables:
+        if at := getattr(df, "_staged_at", None):
+            context = df.sparkSession.sparkContext
+            path = context._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def rows(df: DataFrame) -> int:
+    n = getattr(df, "_staged_rows", None)
+    return df.count() if n is None else n
 
 
 def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """A staged table of narrow rows: broadcast where its count is within limit, else left to a shuffled join."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    return F.broadcast(df) if rows(df) <= limit else df
 
 
 def text_key(text: str = "text") -> list[Column]:

@@ -49,7 +49,7 @@ def copies(docs: DataFrame, targets: DataFrame, seed: str = SEED) -> DataFrame:
 
     A source may be null or hold most rows: the few rows of targets are joined null-safely, and Spark splits a hot source."""
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    t = targets.select(F.col("source").alias("_source"), "source_size", "target")
+    t = targets.withColumnRenamed("source", "_source")
     out = docs.join(t, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     return out.withColumn("copies", (F.floor(rate) + (draw(seed=seed) < rate - F.floor(rate)).cast("long")).cast("long"))
 
@@ -60,7 +60,8 @@ def mix_sizes(docs: DataFrame, most: int = MOST, seed: str = SEED) -> DataFrame:
     Null texts and texts without words have size 0 and take nothing; a null source is a source of its own, the last; a null
     id draws as an empty one; rows with the same id draw alike; an empty table gives no rows; other columns are not read."""
     sizes = _base.staged(docs.select("doc_id", "source", size_of().alias("size")), "mix-sizes")
-    out = copies(sizes, source_targets(sizes, most), seed)
+    targets = _base.staged(source_targets(sizes, most), "mix-targets")
+    out = copies(sizes, _base.sized(targets), seed)
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
@@ -69,7 +70,9 @@ def mix(docs: DataFrame, most: int = MOST, seed: str = SEED) -> DataFrame:
     names = docs.columns
     sizes = _base.staged(docs.select("source", size_of().alias("size")), "mix-sizes")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), "doc_id", "source")
-    out = copies(rows, source_targets(sizes, most), seed).filter(F.col("copies") > 0)
+    targets = _base.staged(source_targets(sizes, most), "mix-targets")
+    _base.drop(sizes)
+    out = copies(rows, _base.sized(targets), seed).filter(F.col("copies") > 0)
     return out.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_row.*")
 
 

@@ -21,6 +21,8 @@ LINK, STAGE_LINK = 85, 80
 CHUNK = 1 << 20
 #: Pairs that may be verified one by one, for each row of the buckets; before that, pivots join what they can.
 PAIRS_PER_ROW = 4
+#: Links that one task joins into components; more are joined by many.
+ALONE = 16_384
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 POLY = np.uint64(0x9DDFEA08EB382D69)
 
@@ -128,21 +130,27 @@ def full_sets(docs: DataFrame, keys: DataFrame, width: int = WIDTH) -> DataFrame
     return _base.staged(texts.mapInArrow(run, "node binary, set array<long>"), "near-sets")
 
 
-def close_sizes(a: str, b: str, link: int) -> Column:
-    return F.least(a, b) * 100 >= F.greatest(a, b) * link
+def may_link(link: int) -> Column:
+    """What two sets have in common is at most what either shares with any other."""
+    most = F.least("shared_a", "shared_b")
+    return most * 100 >= (F.col("n_a") + F.col("n_b") - most) * link
 
 
 def verified(pairs: DataFrame, sets: DataFrame, link: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough. Staged."""
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
+    both = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
     common = F.size(F.array_intersect("set_a", "set_b"))
     union = F.size("set_a") + F.size("set_b") - F.col("common")
     return _base.staged(both.withColumn("common", common).filter(F.col("common") * 100 >= union * link).select("a", "b"), "near-links")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """node, root: the least node that each linked node reaches, by alternating large and small stars. Staged."""
-    edges = _base.staged(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "near-edges")
+def components(links: DataFrame, alone: int = ALONE) -> DataFrame:
+    """node, root: the least node that each linked node reaches. links: staged. Up to alone links one task joins them; more are
+    joined by alternating large and small stars. Staged."""
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v")
+    if _base.rows(links) <= alone:
+        return _base.staged(edges.coalesce(1).mapInArrow(_joined, "node binary, root binary"), "near-roots")
+    edges = _base.staged(edges.distinct(), "near-edges")
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -154,60 +162,112 @@ def components(links: DataFrame) -> DataFrame:
         # done once each node has one root, and no root has one itself
         twice = new.groupBy("u").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("u")
         if twice.unionByName(new.select(F.col("v").alias("u")).join(new.select("u"), "u", "left_semi")).isEmpty():
-            return new.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(new.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+            return _base.staged(new.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(new.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()), "near-roots")
         edges = new
 
 
-def links_of(docs: DataFrame, rows: DataFrame, link: int, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    root: dict[bytes, bytes] = {}
+
+    def find(x: bytes) -> bytes:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = root[up]
+            x = up
+        return x
+
+    for batch in batches:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            u, v = find(u), find(v)
+            root[max(u, v)] = min(u, v)
+    nodes = sorted(root)
+    yield pa.record_batch([pa.array(nodes, pa.binary()), pa.array([find(x) for x in nodes], pa.binary())], names=["node", "root"])
+
+
+def linkable(sets: DataFrame, link: int) -> DataFrame:
+    """node, shared: of the nodes that can be linked at all, how many shingles they share with some other candidate. A link needs
+    link hundredths of the union, so of either set, in common. Staged."""
+    named = sets.select(F.monotonically_increasing_id().alias("id"), "node", "set")
+    tokens = named.select("id", F.explode("set").alias("h"))
+    own = tokens.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("id")).filter("m = 1").groupBy("id").agg(F.count(F.lit(1)).alias("own"))
+    own = _base.sized(_base.staged(own, "near-own"))
+    out = named.select("id", "node", F.size("set").alias("n")).join(own, "id", "left").select("node", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("shared"))
+    return _base.staged(out.filter(F.col("shared") * 100 >= F.col("n") * link).select("node", "shared"), "near-linkable")
+
+
+def all_pairs(now: DataFrame, bands_of: DataFrame, each: tuple[str, ...], link: int) -> DataFrame:
+    """The pairs of different components in a bucket, each in the first bucket that it shares."""
+    nodes = _base.staged(now.select("node").distinct(), "near-nodes")
+    bands_of = _base.staged(bands_of.join(_base.sized(nodes), "node", "left_semi"), "near-bands")
+    now = now.join(bands_of, "node")
+    left, right = (now.select(F.col("key").alias(f"key_{s}"), F.col("bands").alias(f"bands_{s}"), *(F.col(c).alias(f"{c}_{s}") for c in each)) for s in "ab")
+    common = F.filter(F.zip_with("bands_a", "bands_b", lambda a, b: F.when(a == b, a)), lambda v: v.isNotNull())
+    pair = (F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & may_link(link)
+    return left.join(right, (F.col("key_a") == F.col("key_b")) & pair & (F.get(common, F.lit(0)) == F.col("key_a")))
+
+
+def links_of(docs: DataFrame, rows: DataFrame, link: int, width: int = WIDTH, alone: int = ALONE, per_row: int = PAIRS_PER_ROW) -> tuple[DataFrame, DataFrame | None]:
     """classes (node, n, least doc_id, number of rows) and the roots of those that are linked with others.
 
-    Buckets whose members are not yet one component go on: a pivot of each bucket is compared with the others, and what it
-    links leaves. When few pairs of different components are left, all of them are compared. So no pair that shares a bucket
-    goes unlinked, and a large group of near copies costs some comparisons for each member."""
+    Of texts that share a bucket, those with too many shingles of their own can have no link and go, which is exact. If the
+    buckets still hold many pairs of different components, a pivot of each bucket is compared with the others, and what it
+    links leaves, as long as many are linked; at last all pairs that are left are compared, but for those whose sizes or shared
+    shingles rule out a link.
+    So no pair that shares a bucket goes unlinked, and a large group of near copies costs some comparisons for each member."""
     classes = _base.staged(rows.filter("node is not null").groupBy("node").agg(F.min("n").alias("n"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows"), F.min(F.struct("k1", "k2", "bands")).alias("one")), "near-classes")
     member = classes.select(F.explode("one.bands").alias("key"), "node", "n")
     keys = _base.staged(member.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("key"), "near-keys")
-    buckets = _base.staged(member.join(_base.sized(keys), "key", "left_semi"), "near-buckets")
-    wanted = classes.join(_base.sized(_base.staged(buckets.select("node").distinct(), "near-nodes")), "node", "left_semi").select("one.k1", "one.k2")
-    sets = full_sets(docs, _base.staged(wanted, "near-wanted"), width)
-    links = roots = None
-    tested = None
-    for turn in range(1_000):
-        now = buckets if roots is None else buckets.join(_base.sized(roots), "node", "left")
-        now = now.withColumn("root", F.coalesce("root", "node") if roots is not None else F.col("node"))
+    shared = _base.staged(member.join(_base.sized(keys), "key", "left_semi"), "near-buckets")
+    wanted = classes.join(_base.sized(_base.staged(shared.select("node").distinct(), "near-nodes")), "node", "left_semi").select("one.k1", "one.k2")
+    every = full_sets(docs, _base.staged(wanted, "near-wanted"), width)
+    can = linkable(every, link)
+    buckets = _base.staged(shared.join(_base.sized(can), "node"), "near-buckets")
+    sets = _base.staged(every.join(_base.sized(can.select("node")), "node", "left_semi"), "near-sets")
+    _base.drop(keys, shared, every)
+    links = roots = tested = None
+    turn, useful = 0, True
+    now = buckets.withColumn("root", F.col("node"))
+    each = ("node", "n", "root", "shared")
+    while True:
         # of each bucket with several components: how many pairs of different ones
         sizes = now.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("same"), F.count(F.lit(1)).alias("roots"))
-        mixed = _base.staged(sizes.filter("roots > 1").select("key", (F.col("all") * F.col("all") - F.col("same")).alias("pairs")), "near-mixed")
-        total = mixed.agg(F.sum("pairs"), F.count(F.lit(1))).first()
-        if not total[0]:
+        mixed = _base.staged(sizes.filter("roots > 1").select("key", ((F.col("all") * F.col("all") - F.col("same")) / 2).alias("pairs")), "near-mixed")
+        total = mixed.agg(F.sum("pairs")).first()[0]
+        if not total:
             break
         now = _base.staged(now.join(_base.sized(mixed.select("key")), "key", "left_semi"), "near-open")
-        last = turn > 0 and total[0] <= 2 * PAIRS_PER_ROW * now.count() or turn > 8
+        last = total <= per_row * _base.rows(buckets) or not useful
         if last:
-            left, right = (now.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "root"))) for s in "ab")
-            pairs = left.join(right, "key").filter("node_a < node_b and root_a <> root_b")
+            pairs = all_pairs(now, classes.select("node", "one.bands"), each, link)
         else:
-            first = now.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), "node", "n", "root")).alias("p"))
-            pairs = now.select("key", F.col("node").alias("node_b"), F.col("n").alias("n_b"), F.col("root").alias("root_b")).join(first, "key")
-            pairs = pairs.select(F.col("p.node").alias("node_a"), F.col("p.n").alias("n_a"), F.col("p.root").alias("root_a"), "node_b", "n_b", "root_b").filter("root_a <> root_b")
-        pairs = pairs.filter(close_sizes("n_a", "n_b", link)).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+            # first texts with few shingles of their own, then others
+            own = ((F.col("n") - F.col("shared")) / F.col("n") if turn == 0 else F.lit(0.0)).alias("own")
+            first = now.groupBy("key").agg(F.min(F.struct(own, F.xxhash64(F.lit(turn), "node").alias("h"), *each)).alias("p"))
+            pairs = now.select("key", *(F.col(c).alias(f"{c}_b") for c in each)).join(first, "key")
+            pairs = pairs.select(*(F.col(f"p.{c}").alias(f"{c}_a") for c in each), *(f"{c}_b" for c in each)).filter((F.col("root_a") != F.col("root_b")) & may_link(link))
+        pairs = pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+        pairs = pairs if last else pairs.distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = _base.staged(pairs, "near-pairs")
         new = verified(pairs, sets, link)
-        if not new.isEmpty():
-            links = new if links is None else links.unionByName(new)
-            roots = _base.staged(components(links), "near-roots")
+        if _base.rows(new):
+            links = new if links is None else _base.staged(links.unionByName(new), "near-links")
+            roots = components(links, alone)
         if last:
             break
+        turn, useful = turn + 1, 5 * _base.rows(new) >= _base.rows(pairs)
         tested = pairs if tested is None else tested.unionByName(pairs)
+        if roots is not None:
+            now = now.drop("root").join(_base.sized(roots), "node", "left").select("key", "node", "n", "shared", F.coalesce("root", "node").alias("root"))
+    _base.drop(sets)
     return classes, roots
 
 
 def components_of(docs: DataFrame, link: int = LINK, width: int = WIDTH) -> DataFrame:
     """doc_id, k1, k2, n_shingles, component_id for each row."""
-    rows = signatures(docs, width)
-    classes, roots = links_of(docs, rows, link, width)
+    signed = signatures(docs, width)
+    classes, roots = links_of(docs, signed, link, width)
+    rows = _base.staged(signed.drop("bands"), "near-rows")
     named = classes.select("node", "least", "rows")
     if roots is not None:
         of = roots.join(named.select("node", "least"), "node").groupBy("root").agg(F.min("least").alias("component"))
@@ -216,6 +276,7 @@ def components_of(docs: DataFrame, link: int = LINK, width: int = WIDTH) -> Data
     else:
         named = named.withColumn("component", F.lit(None).cast("long"))
     shared = _base.staged(named.filter("rows > 1 or component is not null").select("node", F.coalesce("component", "least").alias("component")), "near-shared")
+    _base.drop(signed, classes)
     out = rows.select("doc_id", "k1", "k2", "n", "node").join(_base.sized(shared), "node", "left")
     return out.select("doc_id", "k1", "k2", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
@@ -232,7 +293,8 @@ def near_duplicates(docs: DataFrame, link: int = LINK, width: int = WIDTH) -> Da
 
 def deduplicate(docs: DataFrame, link: int = STAGE_LINK, width: int = WIDTH) -> DataFrame:
     """The rows of docs that are kept, one of each group, with all columns. Of equal rows one is kept, of rows without shingles all."""
-    of = _base.staged(components_of(docs, link, width), "near-of")
+    of = components_of(docs, link, width)
+    of = _base.staged(of, "near-of")
     lose = of.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "k1", "k2").distinct()
     lose = _base.sized(_base.staged(lose, "near-lose")).select(F.col("doc_id").alias("_id"), F.col("k1").alias("_l1"), F.col("k2").alias("_l2"))
     k1, k2 = _base.text_key()
@@ -240,7 +302,7 @@ def deduplicate(docs: DataFrame, link: int = STAGE_LINK, width: int = WIDTH) ->
     out = keyed.join(lose, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_k1") == F.col("_l1")) & (F.col("_k2") == F.col("_l2")), "left_anti")
     again = of.filter("n_shingles > 0").groupBy("doc_id", "k1", "k2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("k1", "k2").distinct()
     again = _base.staged(again, "near-again")
-    if not again.isEmpty():
+    if _base.rows(again):
         some = _base.sized(again.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")))
         out = out.join(some, ["_k1", "_k2"], "left_anti").unionByName(out.join(some, ["_k1", "_k2"], "left_semi").dropDuplicates(["doc_id", "_k1", "_k2"]))
     return out.select(*docs.columns)

@@ -144,9 +144,9 @@ def some_of(rows: list[np.ndarray], length: int, data: np.ndarray, off: np.ndarr
     return owner[each], a, b, shared, cover, each
 
 
-def settle(found: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+def settle(found: DataFrame, name: str) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
     """One round. found: k1, k2, p0, p1, place, g, b, again, alone. Returns the windows that occur twice as whole blocks (k1, k2,
-    p0, p1), and of each rank g that is left undecided one block of each kind b; alone there means that it occurs once."""
+    p0, p1), and of each rank g that is left undecided one block of each kind b; alone there means that it occurs once. Last the staged tables that both read."""
     shared = _base.staged(found.groupBy("g").agg(F.sum(F.when(F.col("again"), 2).otherwise(1)).alias("n")).filter("n > 1").select("g"), f"{name}-ranks")
     left = _base.staged(found.join(_base.sized(shared), "g", "left_semi"), f"{name}-shared")
     kinds = _base.staged(left.groupBy("g", "b").agg(F.count(F.lit(1)).alias("n"), F.max("again").alias("again"), F.max("alone").alias("alone"), F.min(F.struct("k1", "k2", "p0", "p1", "place")).alias("one")), f"{name}-kinds")
@@ -155,7 +155,7 @@ def settle(found: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     asks = F.col("alone") & (F.col("n") == 1)
     mixed = kinds.groupBy("g").agg(F.count(F.lit(1)).alias("kinds"), F.max(asks).alias("asks"), F.max(F.col("again") & asks).alias("inner"), F.max("again").alias("again"))
     mixed = _base.staged(mixed.filter("inner or kinds > 1 and asks").select("g", F.col("again").alias("direct")), f"{name}-mixed")
-    return whole, kinds.join(_base.sized(mixed), "g").select("one.*", asks.alias("alone"), "direct")
+    return whole, kinds.join(_base.sized(mixed), "g").select("one.*", asks.alias("alone"), "direct"), [shared, left, kinds, twice, mixed]
 
 
 def per_text(chosen: DataFrame, name: str) -> DataFrame:
@@ -227,13 +227,18 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
             runs = [[{"p0": lo, "p1": hi} for lo, hi in merged(np.array([(s["p0"], s["p1"]) for s in x]), length)] for x in b.column(2).to_pylist()]
             yield pa.record_batch([b.column(0), b.column(1), pa.array(runs, pa.list_(pa.struct([("p0", pa.int32()), ("p1", pa.int32())])))], names=["k1", "k2", "spans"])
 
-    whole, chosen = settle(_base.staged(keyed.mapInArrow(find, block), "repeat-blocks"), "repeat-1")
-    chosen = _base.staged(chosen, "repeat-chosen")
+    found = _base.staged(keyed.mapInArrow(find, block), "repeat-blocks")
+    whole, chosen, used = settle(found, "repeat-1")
+    whole, chosen = _base.staged(whole, "repeat-runs"), _base.staged(chosen, "repeat-chosen")
+    _base.drop(found, *used)
     # of equal texts one stands for all: a text that occurs twice has no block that occurs once
     texts = keyed.join(_base.sized(_base.staged(chosen.select("k1", "k2").distinct(), "repeat-keys")), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
     texts = _base.staged(texts, "repeat-texts")
     parts_of = texts.join(_base.sized(per_text(chosen.filter("not direct"), "repeat-split")), ["k1", "k2"]).select("k1", "k2", "text", "at")
-    whole_2, chosen_2 = settle(_base.staged(parts_of.mapInArrow(split, block), "repeat-parts"), "repeat-2")
+    found = _base.staged(parts_of.mapInArrow(split, block), "repeat-parts")
+    whole_2, chosen_2, used = settle(found, "repeat-2")
+    whole_2, chosen_2 = _base.staged(whole_2, "repeat-runs"), _base.staged(chosen_2, "repeat-chosen")
+    _base.drop(found, *used)
     last = chosen.filter("direct").unionByName(chosen_2).select("k1", "k2", "p0", "p1", "place", "alone")
     last = texts.join(_base.sized(per_text(last, "repeat-last")), ["k1", "k2"]).select("k1", "k2", "text", "at")
     windows = _base.staged(last.mapInArrow(rank_windows, "h long, k1 long, k2 long, p0 int, p1 int, alone boolean, n int"), "repeat-windows")
@@ -242,7 +247,9 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     single = ranked.filter("alone").join(_base.sized(twice), "h", "left_semi").select("k1", "k2", "p0", "p1")
     out = whole.unionByName(whole_2).unionByName(single).unionByName(windows.filter("h is null").select("k1", "k2", "p0", "p1"))
     out = out.groupBy("k1", "k2").agg(F.collect_list(F.struct("p0", "p1")).alias("spans"))
-    return _base.staged(out.mapInArrow(join_runs, "k1 long, k2 long, spans array<struct<p0:int,p1:int>>"), "repeat-spans")
+    out = _base.staged(out.mapInArrow(join_runs, "k1 long, k2 long, spans array<struct<p0:int,p1:int>>"), "repeat-spans")
+    _base.drop(whole, chosen, whole_2, chosen_2, texts, windows, twice)
+    return out
 
 
 def with_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
