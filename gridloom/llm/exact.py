@@ -16,7 +16,7 @@ SCALE = 64
 #: Rows that bound each query's k-th score from below beforehand, and that cells are laid around.
 SEEDS = 2_000
 #: Rows of a cell, queries of one task, rows of a leaf; children of a node, and by how much their radii shrink.
-CELL, QUERIES, LEAF, CHILDREN, SHRINK = 4096, 2048, 48, 12, 1.4
+CELL, QUERIES, LEAF, CHILDREN, SHRINK = 4096, 2048, 256, 12, 1.4
 
 
 class CoverTree:
@@ -120,13 +120,19 @@ class Search:
         s = self.queries.points[q0:q1] @ self.data.points[x0:x1].T
         self.pairs += s.size
         s[self.qid[q0:q1, None] == self.xid[x0:x1]] = -np.inf
-        rows = np.flatnonzero((s >= self.kth[q0:q1, None]).any(1))
-        if not len(rows):
+        row, col = np.nonzero(s >= self.kth[q0:q1, None])
+        if not len(row):
             return
-        score = np.concatenate([self.score[q0 + rows], s[rows]], axis=1)
-        ids = np.concatenate([self.id[q0 + rows], np.broadcast_to(self.xid[x0:x1], (len(rows), x1 - x0))], axis=1)
-        by = np.lexsort((ids, -score), axis=1)[:, : self.k]
-        self.score[q0 + rows], self.id[q0 + rows] = np.take_along_axis(score, by, 1), np.take_along_axis(ids, by, 1)
+        # what is new together with what these queries have, in the order of the result; the first k of each stay
+        rows = np.unique(row)
+        old = np.repeat(rows, self.k)
+        owner = np.concatenate([old, row])
+        score = np.concatenate([self.score[q0 + rows].ravel(), s[row, col]])
+        ids = np.concatenate([self.id[q0 + rows].ravel(), self.xid[x0 + col]])
+        by = np.lexsort((ids, -score, owner))
+        first = np.searchsorted(owner[by], rows)
+        by = by[first[:, None] + np.arange(self.k)]
+        self.score[q0 + rows], self.id[q0 + rows] = score[by], ids[by]
         self.kth[q0 + rows] = np.maximum(self.seed[q0 + rows], self.score[q0 + rows, -1])
 
 
