@@ -84,8 +84,8 @@ def neighbours(wide: DataFrame, offsets: Sequence[tuple[int, int]], margin: int)
 
 def integral(lines: DataFrame) -> DataFrame:
     """Inclusive two-dimensional prefix sums: along each line in its array, then down each column."""
-    running = F.aggregate("px", F.array().cast("array<double>"), lambda acc, v: F.concat(acc, F.array(F.coalesce(F.element_at(acc, -1), F.lit(0.0)) + v)))
-    along = schema.to_pixels(lines).withColumn("v", F.sum("v").over(Window.partitionBy("image_id", "y").orderBy("x"))) if running is None else schema.to_pixels(lines.withColumn("px", running))
+    running = F.aggregate("px", F.array().cast("array<double>"), lambda acc, v: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0.0)) + v)))
+    along = schema.to_pixels(lines.withColumn("px", running))
     return along.withColumn("v", F.sum("v").over(Window.partitionBy("image_id", "x").orderBy("y").rowsBetween(Window.unboundedPreceding, 0)))
 
 
@@ -124,38 +124,6 @@ def hog_bins(lines: DataFrame) -> DataFrame:
     return g.select("image_id", "y", "x", hog_bin(F.col("dx"), F.col("dy")).alias("bin"), F.sqrt(F.col("dx") ** 2 + F.col("dy") ** 2).alias("mag"))
 
 
-def l2_hys(a: Column, clip: float = CLIP) -> Column:
-    """Unit length, clipped, unit length again; zeros stay."""
-    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda acc, v: acc + v * v))
-    unit = lambda c: F.transform(c, lambda v: F.when(norm(c) > 0, v / norm(c)).otherwise(0.0))
-    return unit(F.transform(unit(a), lambda v: F.least(v, F.lit(clip))))
-
-
-def hog(lines: DataFrame) -> DataFrame:
-    """image_id, y, x, fs: 36 numbers for each pixel, 2 by 2 cells of 8 by 8 pixels with 9 bins each, the pixel's row and column
-    the last of the first cells. Gradients are those of the mirrored image."""
-    wide = border.pad(lines, 9, "symmetric")
-    g = gradients(wide)
-    of = F.arrays_zip("dx", "dy")
-    lines_of = []
-    for b in range(9):
-        one = F.transform(of, lambda p, b=b: F.when(hog_bin(p["dx"], p["dy"]) == b, F.sqrt(p["dx"] * p["dx"] + p["dy"] * p["dy"])).otherwise(0.0))
-        lines_of.append(g.select(F.concat("image_id", F.lit(f"#{b}")).alias("image_id"), "y", one.alias("px")))
-    each = reduce(DataFrame.unionByName, lines_of)
-    eight = [1.0] * 8
-    fit = (lambda i, k, n: i + k), (lambda n: n - 7)
-    cell = resample.along_x(resample.along_y(each, eight, *fit), eight, *fit)  # cell (y, x) starts at the wide pixel (y, x)
-    cell = cell.select(F.regexp_replace("image_id", "#\\d+$", "").alias("image_id"), F.regexp_extract("image_id", "#(\\d+)$", 1).cast("int").alias("bin"), "y", "px")
-    # the first cell of a pixel starts 7 before it, which is 2 in the wide image; the second 8 later
-    size = schema.heights(lines).select("image_id", "h", "w")
-    cell = cell.join(size, "image_id").select("image_id", "w", "h", "bin", "px", F.explode(F.array(F.struct(F.lit(0).alias("i"), (F.col("y") - 2).alias("y")), F.struct(F.lit(1).alias("i"), (F.col("y") - 10).alias("y")))).alias("t"))
-    cell = cell.select("image_id", "w", "bin", "px", "t.i", "t.y", "h").filter((F.col("y") >= 0) & (F.col("y") < F.col("h")))
-    rows = cell.groupBy("image_id", "y", "w").agg(F.array_sort(F.collect_list(F.struct("i", "bin", "px"))).alias("c"))
-    value = lambda x: F.flatten(F.array(*[F.transform(F.filter("c", lambda c, i=i: c["i"] == i), lambda c, j=j: F.get(c["px"], x + 2 + 8 * j)) for i in range(2) for j in range(2)]))
-    rows = rows.select("image_id", "y", F.transform(F.sequence(F.lit(0), F.col("w") - 1), lambda x: value(x)).alias("p"))
-    return rows.select("image_id", "y", F.posexplode("p").alias("x", "raw")).select("image_id", "y", "x", l2_hys(F.col("raw")).alias("fs"))
-
-
 def hessian_taps(s: float) -> tuple[list[float], list[float], list[float]]:
     """The smooth, first and second derivative taps of a Gaussian of width s."""
     t = np.arange(-int(3 * s + 0.5), int(3 * s + 0.5) + 1)

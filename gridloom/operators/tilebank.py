@@ -310,13 +310,14 @@ def bank(lines: DataFrame, names: tuple[str, ...], tile: int = 64, scope: str =
     halo = max(p[0] for p in parts)
     cut = halo_tiles(lines, halo, tile, tiles)
     scales = _scales(lines, names, tile) if scope == "image" else None
-    if scales is not None:
+    whole = scales is not None
+    if whole:
         cut = cut.join(scales, "image_id")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("r")
         p = np.stack(pdf["px"].to_numpy())
-        scale = {"smooth": float(pdf["smooth"].iloc[0]), "ridges": pdf["ridges"].iloc[0]} if scales is not None else {}
+        scale = {"smooth": float(pdf["smooth"].iloc[0]), "ridges": pdf["ridges"].iloc[0]} if whole else {}
         inside = lambda r: p[halo - r : p.shape[0] - halo + r, halo - r : p.shape[1] - halo + r]
         if scope == "tile":
             scale = {"smooth": float(smoothed(inside(min(halo, 15))).max()), "ridges": ridge_tops(p) if halo >= 33 else []}

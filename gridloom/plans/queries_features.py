@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gridloom import schema
 from gridloom.functions.pixel import r6
-from gridloom.operators import features, resample, stats
+from gridloom.operators import features, resample, stats, tilebank
 from gridloom.plans import sql as S
 from gridloom.plans.queries_pixels import shown, unit_lines
 from gridloom.sources import raster
@@ -64,7 +64,7 @@ def correlate_xy_gauss(spark, sf_dir):
 
 _EDGE = (
     f"{S.same('px', 'ga', GAUSS, 'y')}, {S.same('ga', 'gx', DERIVATIVE, 'x')}, {S.same('px', 'gb', DERIVATIVE, 'y')}, {S.same('gb', 'gy', GAUSS, 'x')}, "
-    "mag AS (SELECT gx.y, gx.x, sqrt(gx.v * gx.v + gy.v * gy.v) AS v FROM gx JOIN gy USING (y, x))"
+    "mag AS MATERIALIZED (SELECT gx.y, gx.x, sqrt(gx.v * gx.v + gy.v * gy.v) AS v FROM gx JOIN gy USING (y, x))"
 )
 
 
@@ -76,8 +76,8 @@ def edge_magnitude(spark, sf_dir):
 def _shift_sql(src: str, offsets: list[tuple[int, int]], to: str = "f") -> str:
     table = "(VALUES " + ", ".join(f"({i}, {dx}, {dy})" for i, (dx, dy) in enumerate(offsets)) + ") AS o(feat, dx, dy)"
     return (
-        f"{S.size(src, to + 's')}, {to} AS (SELECT g.y, o.feat, g.x, s.v FROM {src} g CROSS JOIN {table} CROSS JOIN {to}s "
-        f"JOIN {src} s ON s.y = {S.symmetric('g.y + o.dy', to + 's.h')} AND s.x = {S.symmetric('g.x + o.dx', to + 's.w')})"
+        f"{S.size(src, to + 's')}, {to}g AS MATERIALIZED (SELECT g.y, o.feat, g.x, CAST({S.symmetric('g.y + o.dy', to + 's.h')} AS INTEGER) AS sy, CAST({S.symmetric('g.x + o.dx', to + 's.w')} AS INTEGER) AS sx "
+        f"FROM {src} g CROSS JOIN {table} CROSS JOIN {to}s), {to} AS (SELECT g.y, g.feat, g.x, s.v FROM {to}g g JOIN {src} s ON s.y = g.sy AND s.x = g.sx)"
     )
 
 
@@ -114,10 +114,15 @@ def haar(spark, sf_dir):
     return schema.to_pixels(features.haar(unit_lines(spark, sf_dir))).select("y", "feat", "x", r6(F.col("v")).alias("v"))
 
 
-_GRAD = (
-    f"{S.size('px')}, g AS (SELECT p.y, p.x, e.v - w.v AS dx, s.v - n.v AS dy FROM px p CROSS JOIN hw JOIN px e ON e.y = p.y AND e.x = {S.symmetric('p.x + 1', 'hw.w')} JOIN px w ON w.y = p.y AND w.x = {S.symmetric('p.x - 1', 'hw.w')} "
-    f"JOIN px s ON s.x = p.x AND s.y = {S.symmetric('p.y + 1', 'hw.h')} JOIN px n ON n.x = p.x AND n.y = {S.symmetric('p.y - 1', 'hw.h')})"
-)
+def _gradient_sql(grid: str) -> str:
+    """g(y, x, dx, dy) for the places of a grid(y, x), which may lie beyond the image."""
+    at = {"y0": "y", "ya": "y + 1", "yb": "y - 1"}, {"x0": "x", "xa": "x + 1", "xb": "x - 1"}
+    cols = ", ".join(f"CAST({S.symmetric(f'g.{e}', 'hw.h' if e[0] == 'y' else 'hw.w')} AS INTEGER) AS {n}" for part in at for n, e in part.items())
+    joins = " ".join(f"JOIN px {n} ON {n}.y = p.{y} AND {n}.x = p.{x}" for n, y, x in (("e", "y0", "xa"), ("w", "y0", "xb"), ("s", "ya", "x0"), ("n", "yb", "x0")))
+    return f"{S.size('px')}, gp AS MATERIALIZED (SELECT g.y, g.x, {cols} FROM {grid} g CROSS JOIN hw), g AS MATERIALIZED (SELECT p.y, p.x, e.v - w.v AS dx, s.v - n.v AS dy FROM gp p {joins})"
+
+
+_GRAD = _gradient_sql("px")
 _BIN = "least(8, CAST(floor((CASE WHEN atan2(dy, dx) < 0 THEN atan2(dy, dx) + pi() ELSE atan2(dy, dx) END) * 9 / pi()) AS INTEGER))"
 
 
@@ -127,10 +132,8 @@ def hog_bins(spark, sf_dir):
 
 
 _HOG = (
-    f"{S.size('px')}, vy AS (SELECT unnest(range(-7, CAST(h + 8 AS BIGINT))) AS y FROM hw), vx AS (SELECT unnest(range(-7, CAST(w + 8 AS BIGINT))) AS x FROM hw), "
-    f"g AS (SELECT vy.y, vx.x, e.v - w.v AS dx, s.v - n.v AS dy FROM vy CROSS JOIN vx CROSS JOIN hw JOIN px e ON e.y = {S.symmetric('vy.y', 'hw.h')} AND e.x = {S.symmetric('vx.x + 1', 'hw.w')} "
-    f"JOIN px w ON w.y = {S.symmetric('vy.y', 'hw.h')} AND w.x = {S.symmetric('vx.x - 1', 'hw.w')} JOIN px s ON s.y = {S.symmetric('vy.y + 1', 'hw.h')} AND s.x = {S.symmetric('vx.x', 'hw.w')} "
-    f"JOIN px n ON n.y = {S.symmetric('vy.y - 1', 'hw.h')} AND n.x = {S.symmetric('vx.x', 'hw.w')}), "
+    "hw0 AS (SELECT max(y) + 1 AS h, max(x) + 1 AS w FROM px), vg AS (SELECT y, x FROM (SELECT unnest(range(-7, CAST(h + 8 AS BIGINT))) AS y FROM hw0) CROSS JOIN (SELECT unnest(range(-7, CAST(w + 8 AS BIGINT))) AS x FROM hw0)), "
+    f"{_gradient_sql('vg')}, "
     f"gb AS (SELECT y, x, {_BIN} AS bin, sqrt(dx * dx + dy * dy) AS mag FROM g), bb AS (SELECT unnest(range(0, 9)) AS b), "
     "c0 AS (SELECT y, x, b, CASE WHEN bin = b THEN mag ELSE 0 END AS v FROM gb CROSS JOIN bb), "
     "c1 AS (SELECT y, x, b, sum(v) OVER (PARTITION BY b, y ORDER BY x ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS v FROM c0), "
@@ -144,7 +147,8 @@ _HOG = (
 
 @query(f"WITH {S.PX}, {_HOG} {S.summary('f')}")
 def hog_blocks(spark, sf_dir):
-    rows = features.hog(raster.vectors_as_image(spark, sf_dir)).select("y", "x", F.posexplode("fs").alias("feat", "v"))
+    """The blocks are computed tile by tile; the SQL adds them up by windows."""
+    rows = tilebank.bank(raster.vectors_as_image(spark, sf_dir), ("hog",)).select("y", "x", F.posexplode("xs").alias("feat", "v"))
     return rows.groupBy("y", "feat").agg(r6(F.sum("v")).alias("total"), r6(F.max("v")).alias("peak"), r6(F.sum(F.col("v") * (F.col("x") + 1))).alias("moment"))
 
 

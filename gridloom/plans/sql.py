@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-PX = "px AS (SELECT CAST(vec_id AS INTEGER) AS y, CAST(i - 1 AS INTEGER) AS x, CAST(embedding[i] AS DOUBLE) AS v FROM embeddings, range(1, 65) AS t(i))"
-UNIT = PX + ", mm AS (SELECT min(v) AS lo, max(v) AS hi FROM px), ux AS (SELECT y, x, (v - lo) / (hi - lo) AS v FROM px, mm)"
+PX = "px AS MATERIALIZED (SELECT CAST(vec_id AS INTEGER) AS y, CAST(i - 1 AS INTEGER) AS x, CAST(embedding[i] AS DOUBLE) AS v FROM embeddings, range(1, 65) AS t(i))"
+UNIT = PX + ", mm AS MATERIALIZED (SELECT min(v) AS lo, max(v) AS hi FROM px), ux AS MATERIALIZED (SELECT y, x, (v - lo) / (hi - lo) AS v FROM px, mm)"
 HALVE = "(VALUES (0, -0.01171875), (1, -0.03515625), (2, 0.11328125), (3, 0.43359375), (4, 0.43359375), (5, 0.11328125), (6, -0.03515625), (7, -0.01171875)) AS k(n, t)"
 
 
@@ -34,7 +34,7 @@ def axis(src: str, to: str, taps: str, at: str, n: str, which: str) -> str:
     other, m = ("x", "h") if which == "y" else ("y", "w")
     return (
         f"{to}_n AS (SELECT max({which}) + 1 AS m FROM {src}), {to}_r AS (SELECT unnest(range(0, CAST({n} AS BIGINT))) AS r, m FROM {to}_n), "
-        f"{to} AS (SELECT CAST(r.r AS INTEGER) AS {which}, s.{other}, sum(k.t * s.v) AS v FROM {to}_r r CROSS JOIN {taps} JOIN {src} s ON s.{which} = {at} GROUP BY 1, 2)"
+        f"{to}_g AS MATERIALIZED (SELECT r.r, k.t, {at} AS at FROM {to}_r r CROSS JOIN {taps}), {to} AS MATERIALIZED (SELECT CAST(g.r AS INTEGER) AS {which}, s.{other}, sum(g.t * s.v) AS v FROM {to}_g g JOIN {src} s ON s.{which} = g.at GROUP BY 1, 2)"
     )
 
 
