@@ -100,13 +100,16 @@ class Search:
             lo, hi = self.queries.span[a]
             worst = self.kth[lo:hi].min()
             limit = self.bound(a, data)
-            data = [data[i] for i in np.argsort(-limit) if limit[i] >= worst]
-            if not data:
+            best = [i for i in np.argsort(-limit) if limit[i] >= worst]
+            if not best:
                 continue
+            data = [data[i] for i in best]
             inner = [b for b in data if self.data.children[b]]
             below = self.queries.children[a]
             if not inner and not below:
-                for b in data:
+                for b, most in zip(data, limit[best]):
+                    if most < self.kth[lo:hi].min():
+                        break  # so are all that follow
                     self.compare(a, b)
                 continue
             # the node with the larger reach is opened; the others wait with what it opens into
