@@ -194,7 +194,7 @@ def test_three_stages_train_and_test_on_an_odd_image(spark):
     a = np.random.default_rng(9).random((13, 10))
     im = raster.from_arrays(spark, {"a": a})
     truth = raster.from_arrays(spark, {"a": (a > 0.9).astype(float)})
-    p = classify.Params(groups=1, nodes=2, passes=2, downsample=2, batch=10)
+    p = classify.Params(groups=1, nodes=1, passes=1, downsample=2, batch=10)
     m = cascade.Model.create(3, 1, ("haar",), ("intensity-square-0",), params=p)
     m, out, log = cascade.train(im, truth, m, samples=None)
     assert [(e["stage"], e["level"]) for e in log] == [(1, 0), (1, 1), (2, 0), (2, 1), (3, 0)]
