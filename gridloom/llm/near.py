@@ -219,10 +219,13 @@ def links_of(docs: DataFrame, rows: DataFrame, link: int, width: int = WIDTH, al
     shared = _base.staged(member.join(_base.sized(keys), "key", "left_semi"), "near-buckets")
     wanted = classes.join(_base.sized(_base.staged(shared.select("node").distinct(), "near-nodes")), "node", "left_semi").select("one.k1", "one.k2")
     every = full_sets(docs, _base.staged(wanted, "near-wanted"), width)
-    can = linkable(every, link)
+    # twice, as what only dropped texts had in common with a text is then its own
+    some = linkable(every, link)
+    first = _base.staged(every.join(_base.sized(some.select("node")), "node", "left_semi"), "near-sets")
+    can = linkable(first, link)
     buckets = _base.staged(shared.join(_base.sized(can), "node"), "near-buckets")
-    sets = _base.staged(every.join(_base.sized(can.select("node")), "node", "left_semi"), "near-sets")
-    _base.drop(keys, shared, every)
+    sets = _base.staged(first.join(_base.sized(can.select("node")), "node", "left_semi"), "near-sets")
+    _base.drop(keys, shared, every, first)
     links = roots = tested = None
     turn, useful = 0, True
     now = buckets.withColumn("root", F.col("node"))
@@ -255,7 +258,7 @@ def links_of(docs: DataFrame, rows: DataFrame, link: int, width: int = WIDTH, al
             roots = components(links, alone)
         if last:
             break
-        turn, useful = turn + 1, 5 * _base.rows(new) >= _base.rows(pairs)
+        turn, useful = turn + 1, 0 < _base.rows(pairs) <= 5 * _base.rows(new)
         tested = pairs if tested is None else tested.unionByName(pairs)
         if roots is not None:
             now = now.drop("root").join(_base.sized(roots), "node", "left").select("key", "node", "n", "shared", F.coalesce("root", "node").alias("root"))
