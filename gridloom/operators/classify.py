@@ -1,16 +1,19 @@
 """Clustering and the logistic disjunctive normal network: 1 - prod_i (1 - prod_j sigmoid(w_ij . x + b_ij)).
 
 samples: sample long, xs array<double>, label boolean. weights: i int, j int, w array<double>, the bias last. Evaluation and one
-gradient are relational and distributed; training in order of samples is sequential by definition and runs in one task over the
-bounded sample that subsampling leaves."""
+gradient are relational and distributed; training in order of samples is sequential by definition and runs in one task, which
+keeps the samples in a local file."""
 
 from __future__ import annotations
 
+import os
+import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -207,8 +210,22 @@ def descend(w: np.ndarray, x: np.ndarray, y: np.ndarray, p: Params) -> tuple[np.
     return w, errors
 
 
+class FileRows:
+    """Rows of doubles in an open file, read by number: descent visits all in random order, however many there are."""
+
+    def __init__(self, file: int, rows: int, width: int):
+        self.file, self.rows, self.width = file, rows, width
+
+    def __len__(self) -> int:
+        return self.rows
+
+    def __getitem__(self, take: np.ndarray) -> np.ndarray:
+        size = 8 * self.width
+        return np.frombuffer(b"".join(os.pread(self.file, size, size * i) for i in take.tolist())).reshape(len(take), self.width)
+
+
 def train(samples: DataFrame, p: Params, n: int) -> tuple[DataFrame, list[float]]:
-    """Initial weights from clusters of both classes, then descent in one task. samples is the bounded sample of a submodel."""
+    """Initial weights from clusters of both classes, then descent in one task over all samples."""
     spark = samples.sparkSession
     workers_find_package(spark)
     centres = []
@@ -223,13 +240,20 @@ def train(samples: DataFrame, p: Params, n: int) -> tuple[DataFrame, list[float]
     start = sorted((r["i"], r["j"], r["w"]) for r in init_weights(*centres).collect())
     w0 = np.array([r[2] for r in start]).reshape(p.groups, p.nodes, n + 1)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("sample")
-        x = np.column_stack([np.stack(pdf["xs"].to_numpy()), np.ones(len(pdf))])
-        w, errors = descend(w0, x, pdf["label"].to_numpy(), p)
-        return pd.DataFrame([(i, j, w[i, j].tolist(), errors) for i in range(w.shape[0]) for j in range(w.shape[1])], columns=["i", "j", "w", "errors"])
-
-    got = samples.select("sample", "xs", "label").withColumn("one", F.lit(1)).groupBy("one").applyInPandas(run, "i int, j int, w array<double>, errors array<double>").collect()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with tempfile.TemporaryFile() as file:
+            labels = [np.zeros(0, bool)]
+            for b in batches:
+                x = b.column(0).flatten().to_numpy().reshape(-1, n)
+                file.write(np.column_stack([x, np.ones(len(x))]).tobytes())
+                labels.append(b.column(1).to_numpy(zero_copy_only=False).astype(bool))
+            file.flush()
+            y = np.concatenate(labels)
+            w, errors = descend(w0, FileRows(file.fileno(), len(y), n + 1), y, p)
+        at = [(i, j) for i in range(w.shape[0]) for j in range(w.shape[1])]
+        yield pa.record_batch([pa.array([i for i, _ in at], pa.int32()), pa.array([j for _, j in at], pa.int32()), pa.array([w[k].tolist() for k in at], pa.list_(pa.float64())), pa.array([errors for _ in at], pa.list_(pa.float64()))], names=["i", "j", "w", "errors"])
+
+    got = samples.select("xs", "label", "sample").repartition(1).sortWithinPartitions("sample").select("xs", "label").mapInArrow(run, "i int, j int, w array<double>, errors array<double>").collect()
     return spark.createDataFrame([(r["i"], r["j"], r["w"]) for r in got], "i int, j int, w array<double>"), list(got[0]["errors"])
 
 

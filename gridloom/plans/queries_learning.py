@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions.pixel import r6
-from gridloom.operators import border, classify, tilebank
+from gridloom.operators import classify, tilebank
 from gridloom.plans import cascade
 from gridloom.plans import sql as S
 from gridloom.plans.queries_pixels import unit_lines
@@ -189,10 +189,10 @@ def cascade_test(spark, sf_dir):
 
 @query()
 def cascade_train(spark, sf_dir):
-    """Learns to find bright pixels of a part of the image, and returns the metrics of each level."""
-    im = border.region(unit_lines(spark, sf_dir), 0, 0, 64, 64)
+    """Learns to find bright pixels of the whole image, from all pixels, and returns the metrics of each level."""
+    im = unit_lines(spark, sf_dir)
     labels = im.withColumn("px", F.transform("px", lambda v: (v > 0.6).cast("double")))
     model = cascade.Model.create(2, 1, ("haar", "intensity-stencil-2"), ("intensity-stencil-1",), params=classify.Params(groups=2, nodes=3, passes=2))
-    _, _, log = cascade.train(im, labels, model, samples=2000)
+    _, _, log = cascade.train(im, labels, model, samples=None)
     rows = [(e["stage"], e["level"], e["tp"], e["tn"], e["fp"], e["fn"]) for e in log]
     return spark.createDataFrame(rows, "stage int, level int, tp long, tn long, fp long, fn long")

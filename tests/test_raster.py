@@ -202,6 +202,31 @@ def test_three_stages_train_and_test_on_an_odd_image(spark):
     assert again.shape == a.shape and np.allclose(again, image_of(out))
 
 
+def test_cascade_trains_on_the_whole_table(spark, tmp_path, monkeypatch):
+    from gridloom.plans import queries_learning
+
+    rows = [(i, [float((i * 7 + k * 3) % 11) for k in range(64)], i % 10) for i in range(80)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    seen = {}
+
+    def train(im, labels, model, samples=3_000_000, **more):
+        seen.update(image=im.count(), labels=labels.count(), samples=samples)
+        return model, im, [{"stage": 1, "level": 0, "tp": 1, "tn": 2, "fp": 3, "fn": 4}]
+
+    monkeypatch.setattr(cascade, "train", train)
+    queries_learning.QUERIES["cascade_train"](spark, str(tmp_path)).collect()
+    assert seen == {"image": 80, "labels": 80, "samples": None}
+
+
+def test_rows_of_a_file_as_in_memory(tmp_path):
+    x = np.random.default_rng(3).normal(size=(50, 4))
+    with open(tmp_path / "x", "w+b") as f:
+        f.write(x.tobytes())
+        f.flush()
+        rows = classify.FileRows(f.fileno(), 50, 4)
+        assert len(rows) == 50 and np.array_equal(rows[np.array([7, 0, 49])], x[[7, 0, 49]])
+
+
 def test_entry_module_has_every_oracle_query():
     import __spark_entry__ as e
 
