@@ -29,18 +29,25 @@ class Index:
     coarse: np.ndarray
     cuts: np.ndarray  # where subspaces begin
     books: list[np.ndarray]
+    size: np.ndarray | None = None  # rows of each list
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         near = vectors.nearest(x, self.coarse)
         rest = x - self.coarse[near]
         return near, np.stack([vectors.nearest(rest[:, a:b], w) for a, b, w in zip(self.cuts[:-1], self.cuts[1:], self.books)], axis=1).astype(np.uint8)
 
-    def probes(self, q: np.ndarray, share: float) -> np.ndarray:
-        """The lists whose centroids have the largest inner products with each query, as a mask."""
+    def probes(self, q: np.ndarray, share: float, least: int | np.ndarray = 0) -> np.ndarray:
+        """The lists whose centroids have the largest inner products with each query, as a mask: a share of all, and further ones
+        until they hold at least so many rows (one number, or one for each query)."""
         s = q @ self.coarse.T
         n = max(1, math.ceil(share * len(self.coarse)))
+        order = np.argsort(-s, axis=1, kind="stable")
+        take = np.broadcast_to(np.arange(s.shape[1]) < n, s.shape)
+        if self.size is not None:
+            held = self.size[order]
+            take = take | (held.cumsum(1) - held < np.reshape(least, (-1, 1)))
         out = np.zeros(s.shape, bool)
-        np.put_along_axis(out, np.argsort(-s, axis=1, kind="stable")[:, :n], True, 1)
+        np.put_along_axis(out, order, take, 1)
         return out
 
     def scores(self, q: np.ndarray, lists: np.ndarray, codes: np.ndarray) -> np.ndarray:
@@ -88,6 +95,8 @@ def search(df: DataFrame, every: int = vectors.EVERY, k: int = vectors.K, probe:
 
     coded = _base.staged(rows.mapInArrow(encode, "vec_id long, list int, codes binary, v array<double>"), "ann-index")
     counts = {r["list"]: r["n"] for r in coded.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}  # one for each list
+    index.size = np.array([counts.get(c, 0) for c in range(len(index.coarse))])
+    sized = spark.sparkContext.broadcast(index)
     first, parts, at, room = {}, {}, 0, BLOCK
     for c in sorted(counts):  # neighbouring lists share a block; a long one has its own
         if counts[c] > room:
@@ -101,31 +110,33 @@ def search(df: DataFrame, every: int = vectors.EVERY, k: int = vectors.K, probe:
     coded = coded.join(F.broadcast(of), "list").withColumn("block", F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
     blocks = {c: list(range(first[c], first[c] + parts[c])) for c in counts}
     queries = rows.filter(F.col("vec_id") % every == 0)
+    # a query's own rows are no candidates, so its lists are to hold as many more
+    own = queries.groupBy("vec_id").agg((F.count(F.lit(1)) + k).alias("least"))
     groups = max(1, -(-queries.count() // QUERIES))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             q = vectors.matrix(b.column(1))
-            mask = sent.value.probes(q, probe) if len(q) else np.zeros((0, 0), bool)
+            mask = sized.value.probes(q, probe, b.column(2).to_numpy()) if len(q) else np.zeros((0, 0), bool)
             to = [sorted({x for c in np.flatnonzero(m).tolist() for x in blocks.get(c, ())}) for m in mask]
             each = np.repeat(np.arange(len(to)), [len(t) for t in to])
-            yield pa.record_batch([b.column(0).take(pa.array(each)), b.column(1).take(pa.array(each)), pa.array([x for t in to for x in t], pa.int32())], names=["query_id", "q", "block"])
+            yield pa.record_batch([*(c.take(pa.array(each)) for c in b.columns), pa.array([x for t in to for x in t], pa.int32())], names=["query_id", "q", "least", "block"])
 
-    asked = queries.select("vec_id", "v").mapInArrow(route, "query_id long, q array<double>, block int").withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int"))
+    asked = queries.join(own, "vec_id").select("vec_id", "v", "least").mapInArrow(route, "query_id long, q array<double>, least long, block int").withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int"))
     spread = coded.select("block", "vec_id", "list", "codes", "v", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"))
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         left, right = left.sort_by("query_id"), right.sort_by("vec_id")
         q, x = vectors.matrix(left.column("q")), vectors.matrix(right.column("v"))
-        qid, xid = left.column("query_id").to_numpy(), right.column("vec_id").to_numpy()
+        least, qid, xid = left.column("least").to_numpy(), left.column("query_id").to_numpy(), right.column("vec_id").to_numpy()
         out: list[tuple] = []
         if len(q) and len(x):
-            index = sent.value
+            index = sized.value
             lists = right.column("list").to_numpy()
             codes = np.frombuffer(b"".join(right.column("codes").to_pylist()), np.uint8).reshape(len(x), -1)
             for a in range(0, len(q), 128):
                 s = index.scores(q[a : a + 128], lists, codes)
-                s[~index.probes(q[a : a + 128], probe)[:, lists] | (qid[a : a + 128, None] == xid)] = -np.inf
+                s[~index.probes(q[a : a + 128], probe, least[a : a + 128])[:, lists] | (qid[a : a + 128, None] == xid)] = -np.inf
                 near = np.sort(vectors.top(s, xid, rerank), axis=1)  # by id again
                 exact = np.stack([(x[r] * q[a + i]).sum(1) for i, r in enumerate(near)])
                 exact[~np.isfinite(np.take_along_axis(s, near, 1))] = -np.inf

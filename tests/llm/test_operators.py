@@ -352,3 +352,11 @@ def test_approximate_search(spark, vectors):
     at = {i: np.array(v) for i, v in rows if v and i not in (2040, 2060, 2080, 2100)}
     assert all(math.isclose(s, float(at[a] @ at[b]), abs_tol=1e-12) for (a, b), s in have.items())
     assert ann.search(df.limit(0)).count() == 0
+
+
+def test_approximate_search_of_few_vectors_returns_all(spark):
+    x = np.random.default_rng(12).normal(size=(12, 8))
+    ids = [0, 1, 2, 3, 4, 5, 20, 7, 8, 9, 10, 10]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")
+    got = ann.search(df, every=10).groupBy("query_id").count().collect()
+    assert {r["query_id"]: r["count"] for r in got if r["query_id"] != 10} == {0: 11, 20: 11}
