@@ -195,12 +195,60 @@ def forward(m: Model, symbols: np.ndarray, off: np.ndarray) -> np.ndarray:
     return out
 
 
-def expected(m: Model, symbols: np.ndarray, off: np.ndarray, at_start: np.ndarray):
-    """One expectation step: expected starts, moves and emissions."""
+def transfers(m: Model, symbols: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """(pieces, STATES, STATES): how a piece takes each state of its first symbol to those of its last, up to a factor."""
+    out = np.empty((len(start), STATES, STATES))
+    order = np.argsort(-size, kind="stable")
+    for a in range(0, len(order), 1024):
+        at = order[a : a + 1024]
+        n = size[at]
+        running = np.searchsorted(-n, -np.arange(n[0]), "left")
+        for t, k in enumerate(running.tolist()):
+            e = m.emit[symbols[start[at[:k]] + t]]
+            if t == 0:
+                now = np.eye(STATES) * e[:, None, :]
+            else:
+                now[:k] = (now[:k].reshape(-1, STATES) @ m.move).reshape(k, STATES, STATES) * e[:, None, :]
+                if t % 8 == 0:
+                    now[:k] /= now[:k].sum((1, 2), keepdims=True)
+        out[at] = now / now.sum((1, 2), keepdims=True)
+    return out
+
+
+def joined(m: Model, symbols: np.ndarray, cut: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """before, after: for each piece the forward state that the piece before it ends with, and the backward values at its own last
+    symbol, as of the whole text."""
+    before, after = np.zeros((len(first), STATES)), np.ones((len(first), STATES))
+    at = np.append(np.flatnonzero(first), len(first))
+    count = np.diff(at)
+    many = np.flatnonzero(np.repeat(count > 1, count))
+    if len(many):
+        across = transfers(m, symbols, cut[:-1][many], np.diff(cut)[many])
+        _, head, running = lanes(many, np.append(0, np.cumsum(count[count > 1])))
+        ends, state = np.empty((len(many), STATES)), None
+        for t, k in enumerate(running.tolist()):
+            p = head[:k] + t
+            if t:
+                before[many[p]] = state[:k]
+            prior = state[:k] @ m.move if t else np.broadcast_to(m.start, (k, STATES))
+            state = np.einsum("ki,kij->kj", prior, across[p])
+            state = state / state.sum(1, keepdims=True)
+            ends[p] = state
+        last = np.ones((len(many), STATES))
+        for t in range(len(running) - 1, 0, -1):
+            p = head[: running[t]] + t
+            back = np.einsum("kij,kj->ki", across[p], last[p]) @ m.move.T
+            last[p - 1] = back / back.sum(1, keepdims=True)
+        after[many] = last / (ends * last).sum(1, keepdims=True)
+    return before, after
+
+
+def expected(m: Model, symbols: np.ndarray, off: np.ndarray, at_start: np.ndarray, before: np.ndarray | None = None, after: np.ndarray | None = None):
+    """One expectation step: expected starts, moves and emissions; of pieces with what joins them, also the moves into them."""
     order, first, running = lanes(symbols, off)
-    rest = m.start if not len(order) else np.linalg.matrix_power(m.move, 64).mean(0)
     alpha, scales = [], []
-    prior = np.where(at_start[order][:, None], m.start, rest)
+    into = np.zeros((len(order), STATES)) if before is None else before[order]
+    prior = np.where(at_start[order][:, None], m.start, into @ m.move)
     state = prior
     for t, k in enumerate(running.tolist()):
         e = m.emit[symbols[first[:k] + t]]
@@ -210,7 +258,7 @@ def expected(m: Model, symbols: np.ndarray, off: np.ndarray, at_start: np.ndarra
         alpha.append(state)
         scales.append(scale)
     emits, moves = np.zeros((SYMBOLS, STATES)), np.zeros((STATES, STATES))
-    beta = np.ones((len(order), STATES))
+    beta = np.ones((len(order), STATES)) if after is None else after[order]
     starts = np.zeros(STATES)
     seen, weights = [], []
     for t in range(len(running) - 1, -1, -1):
@@ -220,12 +268,13 @@ def expected(m: Model, symbols: np.ndarray, off: np.ndarray, at_start: np.ndarra
         gamma = alpha[t] * now
         seen.append(s)
         weights.append(gamma)
+        back = m.emit[s] * now / scales[t]
         if t:
-            back = m.emit[s] * now / scales[t]
             moves += alpha[t - 1][:k].T @ back
             beta[:k] = back @ m.move.T
         else:
             starts = gamma[at_start[order]].sum(0)
+            moves += into[~at_start[order]].T @ back[~at_start[order]]
     if seen:
         s, g = np.concatenate(seen), np.concatenate(weights)
         for j in range(STATES):
@@ -295,9 +344,10 @@ def fit(texts: DataFrame, v: Vocabulary, passes: int = PASSES) -> Model:
             for b in batches:
                 symbols, off = _columns(b.column(0))
                 cut, first = pieces(off)
+                before, after = joined(sent.value, symbols, cut, first)
                 for part in _base.segments(np.diff(cut), TOKENS):
                     o = cut[part.start : part.stop + 1]
-                    starts, moves, emits = expected(sent.value, symbols[o[0] : o[-1]], o - o[0], first[part])
+                    starts, moves, emits = expected(sent.value, symbols[o[0] : o[-1]], o - o[0], first[part], before[part], after[part])
                     sums[:SYMBOLS] += emits
                     sums[SYMBOLS : SYMBOLS + STATES] += moves
                     sums[-1] += starts

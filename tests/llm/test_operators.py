@@ -360,3 +360,15 @@ def test_approximate_search_of_few_vectors_returns_all(spark):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")
     got = ann.search(df, every=10).groupBy("query_id").count().collect()
     assert {r["query_id"]: r["count"] for r in got if r["query_id"] != 10} == {0: 11, 20: 11}
+
+
+def test_expectation_over_pieces_is_that_of_whole_texts():
+    rng = np.random.default_rng(5)
+    m = hmm.Model(rng.dirichlet(np.ones(8)), rng.dirichlet(np.ones(8), 8), rng.dirichlet(np.ones(hmm.SYMBOLS), 8).T)
+    sizes = [1, 16, 17, 90, 300, 5]
+    symbols, off = rng.integers(0, hmm.SYMBOLS, sum(sizes)), np.concatenate([[0], np.cumsum(sizes)])
+    want = hmm.expected(m, symbols, off, np.ones(len(sizes), bool))
+    cut, first = hmm.pieces(off, 16)
+    got = hmm.expected(m, symbols, cut, first, *hmm.joined(m, symbols, cut, first))
+    assert all(np.allclose(a, b, rtol=1e-9, atol=1e-12) for a, b in zip(got, want))
+    assert math.isclose(got[1].sum(), sum(sizes) - len(sizes))
