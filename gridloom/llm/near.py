@@ -206,14 +206,14 @@ def all_pairs(now: DataFrame, bands_of: DataFrame, each: tuple[str, ...], link:
 
 
 def links_of(docs: DataFrame, rows: DataFrame, link: int, width: int = WIDTH, alone: int = ALONE, per_row: int = PAIRS_PER_ROW) -> tuple[DataFrame, DataFrame | None]:
-    """classes (node, n, least doc_id, number of rows) and the roots of those that are linked with others.
+    """classes (node, n, least doc_id, number of rows, the row to keep: of the least doc_id, nulls last, the least text key) and the roots of those that are linked with others.
 
     Of texts that share a bucket, those with too many shingles of their own can have no link and go, which is exact. If the
     buckets still hold many pairs of different components, a pivot of each bucket is compared with the others, and what it
     links leaves, as long as many are linked; at last all pairs that are left are compared, but for those whose sizes or shared
     shingles rule out a link.
     So no pair that shares a bucket goes unlinked, and a large group of near copies costs some comparisons for each member."""
-    classes = _base.staged(rows.filter("node is not null").groupBy("node").agg(F.min("n").alias("n"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows"), F.min(F.struct("k1", "k2", "bands")).alias("one")), "near-classes")
+    classes = _base.staged(rows.filter("node is not null").groupBy("node").agg(F.min("n").alias("n"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows"), F.min(F.struct("k1", "k2", "bands")).alias("one"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")).alias("keep")), "near-classes")
     member = classes.select(F.explode("one.bands").alias("key"), "node", "n")
     keys = _base.staged(member.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("key"), "near-keys")
     shared = _base.staged(member.join(_base.sized(keys), "key", "left_semi"), "near-buckets")
@@ -267,21 +267,22 @@ def links_of(docs: DataFrame, rows: DataFrame, link: int, width: int = WIDTH, al
 
 
 def components_of(docs: DataFrame, link: int = LINK, width: int = WIDTH) -> DataFrame:
-    """doc_id, k1, k2, n_shingles, component_id for each row."""
+    """doc_id, k1, k2, n_shingles, component_id for each row, and whether it is its component's row to keep (or equal to it)."""
     signed = signatures(docs, width)
     classes, roots = links_of(docs, signed, link, width)
     rows = _base.staged(signed.drop("bands"), "near-rows")
-    named = classes.select("node", "least", "rows")
+    named = classes.select("node", "least", "rows", "keep")
     if roots is not None:
-        of = roots.join(named.select("node", "least"), "node").groupBy("root").agg(F.min("least").alias("component"))
-        linked = _base.staged(roots.join(of, "root").select("node", "component"), "near-components")
+        of = roots.join(named.select("node", "least", "keep"), "node").groupBy("root").agg(F.min("least").alias("component"), F.min("keep").alias("best"))
+        linked = _base.staged(roots.join(of, "root").select("node", "component", "best"), "near-components")
         named = named.join(_base.sized(linked), "node", "left")
     else:
-        named = named.withColumn("component", F.lit(None).cast("long"))
-    shared = _base.staged(named.filter("rows > 1 or component is not null").select("node", F.coalesce("component", "least").alias("component")), "near-shared")
+        named = named.withColumns({"component": F.lit(None).cast("long"), "best": F.lit(None).cast(classes.schema["keep"].dataType)})
+    shared = _base.staged(named.filter("rows > 1 or best is not null").select("node", F.coalesce("component", "least").alias("component"), F.coalesce("best", "keep").alias("keep")), "near-shared")
     _base.drop(signed, classes)
     out = rows.select("doc_id", "k1", "k2", "n", "node").join(_base.sized(shared), "node", "left")
-    return out.select("doc_id", "k1", "k2", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    first = F.col("keep").isNull() | (F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("k1") == F.col("keep.k1")) & (F.col("k2") == F.col("keep.k2")))
+    return out.select("doc_id", "k1", "k2", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), first.alias("first"))
 
 
 def near_duplicates(docs: DataFrame, link: int = LINK, width: int = WIDTH) -> DataFrame:
@@ -298,7 +299,7 @@ def deduplicate(docs: DataFrame, link: int = STAGE_LINK, width: int = WIDTH) ->
     """The rows of docs that are kept, one of each group, with all columns. Of equal rows one is kept, of rows without shingles all."""
     of = components_of(docs, link, width)
     of = _base.staged(of, "near-of")
-    lose = of.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "k1", "k2").distinct()
+    lose = of.filter(~F.col("first")).select("doc_id", "k1", "k2").distinct()
     lose = _base.sized(_base.staged(lose, "near-lose")).select(F.col("doc_id").alias("_id"), F.col("k1").alias("_l1"), F.col("k2").alias("_l2"))
     k1, k2 = _base.text_key()
     keyed = docs.withColumns({"_k1": k1, "_k2": k2})

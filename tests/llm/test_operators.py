@@ -372,3 +372,14 @@ def test_expectation_over_pieces_is_that_of_whole_texts():
     got = hmm.expected(m, symbols, cut, first, *hmm.joined(m, symbols, cut, first))
     assert all(np.allclose(a, b, rtol=1e-9, atol=1e-12) for a, b in zip(got, want))
     assert math.isclose(got[1].sum(), sum(sizes) - len(sizes))
+
+
+def test_near_copies_with_null_or_equal_ids_leave_one_row(spark):
+    rng = random.Random(7)
+    copies = [BASE + f" tail{k}" for k in range(3)]
+    other = " ".join(f"w{rng.randrange(999)}" for _ in range(120))
+    rows = [(None, t) for t in copies] + [(7, other + f" end{k}") for k in range(3)] + [(7, LONG), (None, "some words of its own here and now")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in near.deduplicate(df).collect()]
+    assert len(got) == 4 and sum(t in copies for _, t in got) == 1 and sum(t.startswith(other) for _, t in got) == 1
+
