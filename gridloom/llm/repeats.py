@@ -1,17 +1,18 @@
-"""Exact removal of long repeated strings: prefix doubling over positions, thinned so that it fits large inputs.
+"""Exact removal of long repeated strings by prefix doubling over the positions that thinning leaves.
 
-Plain doubling ranks every byte position at lengths 1, 2, 4, ... and sorts rank pairs in each round: some 16 bytes for each
-byte of text, each round. Here a rank is a 64-bit fingerprint of the string at a position, which a task computes at any
-length by itself; Spark compares ranks at growing lengths and keeps only positions whose rank is not unique:
+Doubling every byte position would move many times the input, so positions that cannot begin a repeated string go first:
 
-1. Length GRAM, at one position of each window of LENGTH bytes: that of the smallest rank. Equal windows choose equal ranks,
-   so a window whose chosen rank is unique occurs once, and only some 2 in 300 positions are compared.
-2. The block of all neighbouring windows that chose the same rank. If the whole block occurs elsewhere, so do its windows.
-3. Of blocks that occur once, and one of each kind of block that shares their rank: runs of STEP windows. If what all windows
+1. Of each window of LENGTH bytes, the smallest hash of GRAM bytes. Equal windows choose equal ones, so a window whose choice is
+   unique occurs once, and only some 2 in 300 positions are compared.
+2. The block of all neighbouring windows that chose the same string. If the whole block occurs elsewhere, so do its windows.
+3. Of blocks that occur once, and one of each kind of block that shares their choice: runs of STEP windows. If what all windows
    of a run share occurs once, so do they; if all that they cover occurs elsewhere, so do they.
-4. Length LENGTH, as the pair of the ranks of its halves, at each position of what is left: some STEP for each place where a
-   repeated string begins or ends.
-"""
+
+On what is left, some STEP positions for each place where a repeated string begins or ends, ranks are doubled: a position has the
+rank of its first quarter of LENGTH bytes and those at the three offsets that follow. Spark counts and sorts the pairs of ranks at
+an offset of a quarter; pairs that occur once go, and the place of a pair in the order is its rank. The pairs of these ranks at
+an offset of a half tell which strings of LENGTH bytes occur twice. First ranks, and what rounds 1 to 3 compare, are 61-bit
+hashes modulo a prime, so a byte is removed only if all four quarters agree with those of another string."""
 
 from __future__ import annotations
 
@@ -25,7 +26,9 @@ from pyspark.sql import functions as F
 
 from gridloom.llm import _base
 
-LENGTH, GRAM = 400, 100
+LENGTH = 400
+#: Of the pipeline's stage: 50 words of four letters and a space have 250 bytes.
+STAGE_LENGTH = LENGTH
 CHUNK = 1 << 20
 #: Windows of a run in the third round.
 STEP = 32
@@ -34,9 +37,14 @@ PLACE = np.uint64((1 << 21) - 1)
 
 
 def fingerprints(p: np.ndarray, start: np.ndarray, length: np.ndarray | int) -> np.ndarray:
-    """Ranks of the strings of such lengths at such places, from the prefix sums p of their part."""
-    _, down = _base.powers(len(p))
-    return _base.mix((p[start + length] - p[start]) * down[start])
+    """Hashes of the strings of such lengths at such places, from the prefix sums p of their part."""
+    return _base.mix(_base.span_hash(p, start, start + length))
+
+
+def offsets(length: int) -> tuple[int, tuple[int, int, int, int]]:
+    """A quarter of length, rounded up, and where four such strings begin that cover length."""
+    q = -(-length // 4)
+    return q, (0, q, length - 2 * q, length - q) if length > 2 else (0, 0, 0, length - q)
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -63,10 +71,10 @@ def parts(off: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray, np.nd
                 yield s.start, np.array([at, min(hi, at + CHUNK + length - 1)]), at - lo
 
 
-def blocks(data: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int = GRAM):
+def blocks(data: np.ndarray, off: np.ndarray, length: int = LENGTH):
     """Of all windows: text, first and last start of the neighbouring windows with the same least rank, that rank, the block's,
     and whether the block has that rank at several places, as it must to repeat itself."""
-    out = []
+    out, gram = [], offsets(length)[0]
     for first, o, shift in parts(off, length):
         d = data[o[0] : o[-1]]
         o = o - o[0]
@@ -95,16 +103,16 @@ def blocks(data: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int =
 
 
 def window_ranks(data: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """Ranks of the windows at sorted starts: pairs of the ranks of their halves."""
-    half = length // 2
-    out = np.empty(len(starts), np.uint64)
+    """(4, windows): first ranks of the quarters of the windows at sorted starts."""
+    q, at_quarter = offsets(length)
+    out = np.empty((4, len(starts)), np.uint64)
     at = 0
     while at < len(starts):
         to = int(np.searchsorted(starts, starts[at] + CHUNK))
         lo = starts[at]
         p = _base.prefix_hash(data[lo : starts[to - 1] + length], _base.BYTE)
-        s = starts[at:to] - lo
-        out[at:to] = _base.mix(fingerprints(p, s, half) * np.uint64(3) + fingerprints(p, s + half, length - half))
+        for k, o in enumerate(at_quarter):
+            out[k, at:to] = fingerprints(p, starts[at:to] - lo + o, q)
         at = to
     return out
 
@@ -159,7 +167,7 @@ def settle(found: DataFrame, name: str) -> tuple[DataFrame, DataFrame, list[Data
 
 
 def per_text(chosen: DataFrame, name: str) -> DataFrame:
-    return _base.staged(chosen.groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("p0", "p1", "place", "alone"))).alias("at")), name)
+    return _base.staged(chosen.groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("p0", "p1", "place", "alone"))).alias("at")), name, "at")
 
 
 def entries(b: pa.RecordBatch):
@@ -171,7 +179,25 @@ def entries(b: pa.RecordBatch):
     return data, off, owner, [x.to_numpy(zero_copy_only=False)[cut] for x in at.values.flatten()]
 
 
-def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def reranked(positions: DataFrame, left: str, right: str, rank: str, name: str) -> DataFrame:
+    """left, right, rank of the pairs of ranks that occur more than once: their places in the order of all such pairs. Staged."""
+    pairs = positions.groupBy(left, right).agg(F.sum("n").alias("n")).filter("n > 1").select(left, right)
+    return _base.staged(pairs.orderBy(left, right).select(left, right, F.monotonically_increasing_id().alias(rank)), name)
+
+
+def doubled(positions: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """positions: a, b, c, d (ranks of the quarters), n, alone and others, staged. Those that are alone and whose whole strings occur
+    more than once; and the staged tables that this reads. Hot pairs are counted before the shuffle, and joined by what has one
+    row for each pair."""
+    first, second = reranked(positions, "a", "b", "r", "repeat-double"), reranked(positions, "c", "d", "s", "repeat-double")
+    halves = positions.join(_base.sized(first), ["a", "b"]).join(_base.sized(second), ["c", "d"]).drop("a", "b", "c", "d")
+    halves = _base.staged(halves, "repeat-halves")
+    _base.drop(first, second)
+    twice = _base.staged(halves.groupBy("r", "s").agg(F.sum("n").alias("n")).filter("n > 1").select("r", "s"), "repeat-twice")
+    return halves.filter("alone").join(_base.sized(twice), ["r", "s"], "left_semi"), [halves, twice]
+
+
+def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """k1, k2, spans: for each text with repeated windows, the byte runs that they cover. Staged."""
     spark = docs.sparkSession
     _base.prepare(spark)
@@ -181,7 +207,7 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            text, p0, p1, place, g, cover, again = blocks(*_base.texts_of(b.column(2)), length, gram)
+            text, p0, p1, place, g, cover, again = blocks(*_base.texts_of(b.column(2)), length)
             yield pa.record_batch([b.column(0).take(text), b.column(1).take(text), *(pa.array(x, pa.int32()) for x in (p0, p1, place)), pa.array(_base.signed(g)), pa.array(_base.signed(cover)), pa.array(again), pa.array(np.ones(len(g), bool))], names=names)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,27 +226,28 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
                 p, alone = _base.ranges(p0, n), np.repeat(rows[3][s].astype(bool), n)
                 by = np.lexsort((p, text))
                 text, p, alone = text[by], p[by], alone[by]
-                h = window_ranks(data, off[:-1][text] + p, length)
-                # what a text repeats itself is settled here: runs of such windows, and each rank once for the other texts
-                order = np.lexsort((h, text))
-                new = np.ones(len(h), bool)
-                new[1:] = (h[order][1:] != h[order][:-1]) | (text[order][1:] != text[order][:-1])
+                ranks = window_ranks(data, off[:-1][text] + p, length)
+                # what a text repeats itself is settled here: runs of such windows, and each string once for the other texts
+                order = np.lexsort((*ranks, text))
+                by_rank = ranks[:, order]
+                new = np.ones(len(p), bool)
+                new[1:] = (by_rank[:, 1:] != by_rank[:, :-1]).any(0) | (text[order][1:] != text[order][:-1])
                 head = np.flatnonzero(new)
-                count = np.diff(np.append(head, len(h)))
-                own = np.empty(len(h), bool)
+                count = np.diff(np.append(head, len(p)))
+                own = np.empty(len(p), bool)
                 own[order] = np.repeat(count > 1, count)
                 first = order[head]
-                yield rows_of(b, text[first], p[first], p[first], alone[first] & (count == 1), h[first], np.minimum(count, 2))
-                run = np.ones(len(h), bool)
+                yield rows_of(b, text[first], p[first], p[first], alone[first] & (count == 1), ranks[:, first], np.minimum(count, 2))
+                run = np.ones(len(p), bool)
                 run[1:] = (own[1:] != own[:-1]) | (text[1:] != text[:-1]) | (p[1:] != p[:-1] + 1)
                 lo = np.flatnonzero(run)
-                hi = np.append(lo[1:], len(h)) - 1
+                hi = np.append(lo[1:], len(p)) - 1
                 lo, hi = lo[own[lo]], hi[own[lo]]
                 yield rows_of(b, text[lo], p[lo], p[hi], np.ones(len(lo), bool), None, np.full(len(lo), 2))
 
-    def rows_of(b: pa.RecordBatch, text, p0, p1, alone, h, n) -> pa.RecordBatch:
-        ranks = pa.nulls(len(text), pa.int64()) if h is None else pa.array(_base.signed(h))
-        return pa.record_batch([ranks, b.column(0).take(pa.array(text)), b.column(1).take(pa.array(text)), pa.array(p0, pa.int32()), pa.array(p1, pa.int32()), pa.array(alone), pa.array(n, pa.int32())], names=["h", "k1", "k2", "p0", "p1", "alone", "n"])
+    def rows_of(b: pa.RecordBatch, text, p0, p1, alone, ranks, n) -> pa.RecordBatch:
+        four = [pa.nulls(len(text), pa.int64())] * 4 if ranks is None else [pa.array(_base.signed(r)) for r in ranks]
+        return pa.record_batch([b.column(0).take(pa.array(text)), b.column(1).take(pa.array(text)), pa.array(p0, pa.int32()), pa.array(p1, pa.int32()), pa.array(alone), pa.array(n, pa.int32()), *four], names=["k1", "k2", "p0", "p1", "alone", "n", *"abcd"])
 
     def join_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -241,22 +268,22 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     _base.drop(found, *used)
     last = chosen.filter("direct").unionByName(chosen_2).select("k1", "k2", "p0", "p1", "place", "alone")
     last = texts.join(_base.sized(per_text(last, "repeat-last")), ["k1", "k2"]).select("k1", "k2", "text", "at")
-    windows = _base.staged(last.mapInArrow(rank_windows, "h long, k1 long, k2 long, p0 int, p1 int, alone boolean, n int"), "repeat-windows")
-    ranked = windows.filter("h is not null")
-    twice = _base.staged(ranked.groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h"), "repeat-twice")
-    single = ranked.filter("alone").join(_base.sized(twice), "h", "left_semi").select("k1", "k2", "p0", "p1")
-    out = whole.unionByName(whole_2).unionByName(single).unionByName(windows.filter("h is null").select("k1", "k2", "p0", "p1"))
+    windows = _base.staged(last.mapInArrow(rank_windows, "k1 long, k2 long, p0 int, p1 int, alone boolean, n int, a long, b long, c long, d long"), "repeat-windows")
+    single, used = doubled(windows.filter("a is not null"))
+    out = whole.unionByName(whole_2).unionByName(single.select("k1", "k2", "p0", "p1")).unionByName(windows.filter("a is null").select("k1", "k2", "p0", "p1"))
     out = out.groupBy("k1", "k2").agg(F.collect_list(F.struct("p0", "p1")).alias("spans"))
-    out = _base.staged(out.mapInArrow(join_runs, "k1 long, k2 long, spans array<struct<p0:int,p1:int>>"), "repeat-spans")
-    _base.drop(whole, chosen, whole_2, chosen_2, texts, windows, twice)
+    out = _base.staged(out.mapInArrow(join_runs, "k1 long, k2 long, spans array<struct<p0:int,p1:int>>"), "repeat-spans", "spans")
+    _base.drop(whole, chosen, whole_2, chosen_2, texts, windows, *used)
     return out
 
 
-def with_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """docs with _spans: the byte runs [p0, p1) that are repeated, null if there are none."""
+def with_spans(docs: DataFrame, name: str, length: int = LENGTH) -> DataFrame:
+    """docs with a column of that name: the byte runs [p0, p1) that are repeated, null if there are none."""
     k1, k2 = _base.text_key()
-    found = _base.sized(spans(docs, length, gram).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("spans").alias("_spans")))
-    return docs.withColumns({"_k1": k1, "_k2": k2}).join(found, ["_k1", "_k2"], "left").drop("_k1", "_k2")
+    a, b = _base.fresh(docs, "k1_", "k2_")
+    found = spans(docs, length)
+    found = _base.sized(found).withColumnsRenamed({"k1": a, "k2": b, "spans": name})
+    return docs.withColumns({a: k1, b: k2}).join(found, [a, b], "left").drop(a, b)
 
 
 def remaining(text: str | None, runs: list[dict] | None) -> bytes:
@@ -268,7 +295,7 @@ def remaining(text: str | None, runs: list[dict] | None) -> bytes:
     return b"".join([*out, data[at:]])
 
 
-def report(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of docs.
 
     Removed is each byte covered by a string of length bytes that also starts elsewhere, in the same row or another. Null counts
@@ -285,19 +312,22 @@ def report(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame
             n, removed, count, digest = zip(*rows) if rows else ([], [], [], [])
             yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(digest, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    rows = with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), length, gram).select("doc_id", "text", "_spans")
+    rows = with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "spans", length).select("doc_id", "text", "spans")
     return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def cut(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """docs with the repeated bytes gone from text; a character that loses some of its bytes goes too. Null stays null."""
-    rows = with_spans(docs, length, gram)
+def cut(docs: DataFrame, length: int = STAGE_LENGTH) -> DataFrame:
+    """docs with the repeated bytes gone from text; a character that loses some of its bytes goes too. Null stays null, and a text
+    of which nothing is left is empty."""
+    (name,) = _base.fresh(docs, "spans_")
+    rows = with_spans(docs, name, length).select(*(F.col(f"`{c}`") for c in docs.columns), name)
+    text_at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            names = b.schema.names
-            text, runs = b.column(names.index("text")).to_pylist(), b.column(names.index("_spans")).to_pylist()
-            kept = [t if not r else remaining(t, r).decode(errors="ignore") for t, r in zip(text, runs)]
-            yield pa.record_batch([pa.array(kept, pa.string()) if c == "text" else b.column(i) for i, c in enumerate(names) if c != "_spans"], names=[c for c in names if c != "_spans"])
+            columns = b.columns
+            text, runs = columns[text_at].to_pylist(), columns.pop().to_pylist()
+            columns[text_at] = pa.array([t if not r else remaining(t, r).decode(errors="ignore") for t, r in zip(text, runs)], pa.string())
+            yield pa.record_batch(columns, names=b.schema.names[:-1])
 
     return rows.mapInArrow(run, docs.schema)

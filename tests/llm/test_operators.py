@@ -175,6 +175,43 @@ def test_sketches_fill_and_estimate():
     assert abs((s[0] == s[1]).mean() - 240 / 360) < 0.15
 
 
+def thue_morse(n):
+    """A string over two letters and its complement, which agree in every polynomial hash modulo 2**64 from 1,024 bytes on."""
+    bits = [0]
+    while len(bits) < n:
+        bits += [1 - b for b in bits]
+    return bytes(97 + b for b in bits[:n]).decode(), bytes(98 - b for b in bits[:n]).decode()
+
+
+def test_arithmetic_modulo_the_prime():
+    p = _base.PRIME
+    rng = np.random.default_rng(0)
+    a, b = (np.append(rng.integers(0, p, 200, dtype=np.uint64), np.array([p - 1, p - 1, 0], np.uint64)) for _ in range(2))
+    assert [int(x) for x in _base.times(a, b)] == [int(x) * int(y) % p for x, y in zip(a, b)]
+    data = rng.integers(0, 256, 3000).astype(np.uint8)
+    got = _base.span_hash(_base.prefix_hash(data, _base.BYTE), np.array([5, 100]), np.array([2900, 100]))
+    assert [int(x) for x in got] == [sum(int(_base.BYTE[data[5 + i]]) * pow(_base.BASE, i, p) for i in range(2895)) % p, 0]
+
+
+@pytest.mark.parametrize("n", [1024, 4096, 65536])
+def test_complementary_strings_stay_apart(spark, n):
+    a, b = thue_morse(n)
+    df = spark.createDataFrame([(0, a), (1, b), (2, f"{a} z"), (3, f"{b} y")], "doc_id long, text string").repartition(2)
+    assert [(r.doc_id, r.component_id) for r in near.near_duplicates(df).orderBy("doc_id").collect()] == [(i, i) for i in range(4)]
+    words = {w: c for w, c in hmm.counts(df).groupBy("w").agg(F.sum("c")).collect()}
+    assert sorted(words.values()) == [1, 1, 2, 2]
+    if n <= 4096:
+        want = brute_repeats([t.encode() for t in (a, b, f"{a} z", f"{b} y")], 400)
+        assert [tuple(r)[1:] for r in repeats.report(df).orderBy("doc_id").collect()] == want
+
+
+def test_smallest_is_what_ordering_all_rows_gives(spark):
+    df = spark.range(5000).withColumn("g", F.col("id") % 2)
+    want = [r.id for r in df.orderBy(F.xxhash64("id"), "id").limit(20).collect()]
+    assert [r.id for r in _base.smallest(df, 20, "id").collect()] == want
+    assert _base.smallest(df, 20, "g").count() == 20  # two keys: a cut by their hashes may leave none
+
+
 def brute_repeats(texts, length):
     seen = collections.Counter(t[p : p + length] for t in texts for p in range(len(t) - length + 1))
     out = []
@@ -188,8 +225,8 @@ def brute_repeats(texts, length):
     return out
 
 
-@pytest.mark.parametrize("length, gram", [(400, 100), (60, 15)])
-def test_repeats_as_brute_force(spark, docs, none, monkeypatch, length, gram):
+@pytest.mark.parametrize("length", [400, 240, 61])
+def test_repeats_as_brute_force(spark, docs, none, monkeypatch, length):
     rng = random.Random(6)
     passage = " ".join(rng.choice(WORDS) + str(rng.randrange(999)) for _ in range(150))
     rows = [(r[0], r[1]) for r in ROWS]
@@ -199,13 +236,13 @@ def test_repeats_as_brute_force(spark, docs, none, monkeypatch, length, gram):
         rows.append((100 + k, own[: rng.randrange(300)] + passage[cut : cut + rng.randrange(380, 600)] + own))
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, spans string")
     want = sorted(map(key, ((i, *x) for (i, _), x in zip(rows, brute_repeats([(t or "").encode() for _, t in rows], length)))))
-    assert sorted(map(key, repeats.report(df, length, gram).collect())) == want
+    assert sorted(map(key, repeats.report(df, length).collect())) == want
     monkeypatch.setattr(repeats, "CHUNK", 2000)  # long texts in parts
-    found = repeats.blocks(*_base.texts_of(__import__("pyarrow").array([LONG])), length, gram)
+    found = repeats.blocks(*_base.texts_of(__import__("pyarrow").array([LONG])), length)
     assert (found[2] - found[1] + 1).sum() == len(LONG.encode()) - length + 1
-    out = repeats.cut(docs, length, gram)
+    out = repeats.cut(docs, length)
     assert out.columns == docs.columns and out.filter("text is null").count() == 1
-    assert repeats.report(none, length, gram).count() == 0 and repeats.cut(none, length, gram).count() == 0
+    assert repeats.report(none, length).count() == 0 and repeats.cut(none, length).count() == 0
 
 
 @pytest.mark.parametrize("op, column", [(quality.classify, "quality"), (toxicity.classify, "toxic")])
