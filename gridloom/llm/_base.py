@@ -142,8 +142,8 @@ BYTE = (mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 BYTE_LOWER = BYTE[[b + 32 if 65 <= b <= 90 else b for b in range(256)]]
 SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 #: Bytes hashed at once; longer texts go in parts.
-PART = 1 << 20
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+PART = 1 << 18
+_POWERS: list[np.ndarray] = []
 _P, _S61, _S31, _S30 = np.uint64(PRIME), np.uint64(61), np.uint64(31), np.uint64(30)
 _M31, _M30 = np.uint64((1 << 31) - 1), np.uint64((1 << 30) - 1)
 
@@ -163,17 +163,15 @@ def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i for i from 0 to n."""
-    size = max(PART + 4096, 1 << int(n).bit_length())
-    if size not in _POWERS:
-        _POWERS.clear()
-        both = []
+    if not _POWERS or len(_POWERS[0]) <= n:
+        size, both = max(PART + 4096, 1 << int(n).bit_length()), []
         for base in (BASE, UNBASE):
             x = np.ones(1, np.uint64)
             while len(x) < size:
                 x = np.concatenate([x, times(x, np.uint64(pow(base, len(x), PRIME)))])
-            both.append(x[:size])
-        _POWERS[size] = tuple(both)
-    return _POWERS[size]
+            both.append(x)
+        _POWERS[:] = both
+    return _POWERS[0], _POWERS[1]
 
 
 def prefix_hash(data: np.ndarray, values: np.ndarray) -> np.ndarray:

@@ -19,6 +19,12 @@ SEEDS = 2_000
 CELL, QUERIES, LEAF, CHILDREN, SHRINK = 4096, 2048, 256, 12, 1.4
 
 
+def allowance(norm_q, reach_q, norm_d, reach_d):
+    """By how much an inner product may exceed that of two centres, rounding included."""
+    far = norm_q * reach_d + norm_d * reach_q + reach_q * reach_d
+    return far + 1e-6 + 1e-12 * (norm_q * norm_d + far)
+
+
 class CoverTree:
     """Nodes as rows: a centre among the points, the distance that covers all points below, and a range of the ordered points."""
 
@@ -89,7 +95,7 @@ class Search:
     def bound(self, a: int, b: list[int]) -> np.ndarray:
         """What no inner product between the points below a query node and below data nodes exceeds."""
         q, d = self.queries, self.data
-        return d.at[b] @ q.at[a] + q.norm[a] * d.reach[b] + d.norm[b] * q.reach[a] + q.reach[a] * d.reach[b] + 1e-6
+        return d.at[b] @ q.at[a] + allowance(q.norm[a], q.reach[a], d.norm[b], d.reach[b])
 
     def run(self) -> None:
         if not len(self.qid) or not len(self.xid):
@@ -149,16 +155,19 @@ def search(df: DataFrame, every: int = vectors.EVERY, k: int = vectors.K, scale:
 
     Vectors that are null, empty or hold a null or non-finite component take no part, nor do null ids or other lengths than the
     most frequent; zero vectors do. Rows with one id are candidates each, but never for their own id's query. Ties go to the
-    smaller id. Inner products are exact up to 2**53. Rows are dealt to cells around some of the seeds, a cell of many rows
-    in parts by a hash of the id, and the stated queries meet every cell in groups: a task holds some CELL rows and QUERIES
-    queries. A query's k-th score among the seeds bounds its result from below, so seeded pruning loses nothing."""
+    smaller id. Inner products are exact up to 2**53.
+
+    Rows are dealt to cells around pivots, a cell of many rows in parts by a hash of the id, and queries to groups by their
+    nearest pivots. A query's k-th score among the seeds bounds its result from below: it goes to the cells only whose pivot and
+    covering radius allow such a score, and a cell's rows go to the groups only that ask for it. A task holds some CELL rows and
+    QUERIES queries."""
     spark = df.sparkSession
     _base.prepare(spark)
     rows = _base.staged(whole(df, scale), "exact-rows")
-    n = rows.count()
+    n = _base.rows(rows)
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    got = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SEEDS).toArrow().sort_by("vec_id")
+    got = _base.smallest(rows, SEEDS, "vec_id").toArrow().sort_by("vec_id")
     seed_id, seeds = got.column("vec_id").to_numpy(), vectors.matrix(got.column("v"))
     pivots = vectors.kmeans(seeds, min(len(seeds), max(1, min(1024, -(-n // CELL)))))
     sent = spark.sparkContext.broadcast((seed_id, seeds, pivots))  # SEEDS rows at most
@@ -167,35 +176,46 @@ def search(df: DataFrame, every: int = vectors.EVERY, k: int = vectors.K, scale:
         for b in batches:
             x = vectors.matrix(b.column(1))
             near = vectors.nearest(x, sent.value[2]) if len(x) else np.zeros(0, np.int64)
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(near, pa.int32())], names=["vec_id", "v", "pivot"])
-
-    placed = rows.mapInArrow(place, "vec_id long, v array<double>, pivot int")
-    counts = {r["pivot"]: r["n"] for r in placed.groupBy("pivot").agg(F.count(F.lit(1)).alias("n")).collect()}  # one for each pivot
-    first, at = [], 0
-    for p in sorted(counts):
-        parts = -(-counts[p] // CELL)
-        first.append((p, at, parts))
+            far = np.sqrt(((x - sent.value[2][near]) ** 2).sum(1)) if len(x) else np.zeros(0)
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(near, pa.int32()), pa.array(far)], names=["vec_id", "v", "pivot", "far"])
+
+    placed = _base.staged(rows.mapInArrow(place, "vec_id long, v array<double>, pivot int, far double"), "exact-placed")
+    _base.drop(rows)
+    first, at, reach = [], 0, np.full(len(pivots), -np.inf)
+    for r in placed.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far")).orderBy("pivot").collect():  # one for each pivot
+        parts = -(-r["n"] // CELL)
+        first.append((r["pivot"], at, parts))
+        reach[r["pivot"]] = r["far"]
         at += parts
     of = spark.createDataFrame(first, "pivot int, first int, parts int")
-    cells = placed.join(F.broadcast(of), "pivot").select("vec_id", "v", (F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")).alias("cell"))
-    queries = rows.filter(F.col("vec_id") % every == 0)
-    groups = max(1, -(-queries.count() // QUERIES))
+    covers = spark.sparkContext.broadcast((np.flatnonzero(np.isfinite(reach)), np.sqrt((pivots * pivots).sum(1)), reach))
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, x, _ = sent.value
+        ids, x, centre = sent.value
+        some, norm, far = covers.value
         for b in batches:
             q = vectors.matrix(b.column(1))
-            seed = np.full(len(q), -np.inf)
+            seed, wants = np.full(len(q), -np.inf), []
             for a in range(0, len(q), 256):
                 s = q[a : a + 256] @ x.T
                 s[b.column(0).to_numpy()[a : a + 256, None] == ids] = -np.inf
                 if s.shape[1] >= k:
                     seed[a : a + 256] = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(seed)], names=["query_id", "q", "seed"])
-
-    asked = queries.mapInArrow(bounded, "query_id long, q array<double>, seed double").withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int"))
-    asked = asked.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(at - 1))))
-    spread = cells.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+                own = np.sqrt((q[a : a + 256] ** 2).sum(1))[:, None]
+                most = q[a : a + 256] @ centre[some].T + allowance(own, 0.0, norm[some], far[some])
+                wants += [some[m] for m in most >= seed[a : a + 256, None]]
+            where = np.concatenate([[0], np.cumsum([len(w) for w in wants])])
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(seed), b.column(2), pa.ListArray.from_arrays(pa.array(where, pa.int32()), pa.array(np.concatenate([*wants, np.zeros(0, np.int64)]), pa.int32()))], names=["query_id", "q", "seed", "home", "wants"])
+
+    asked = _base.staged(placed.filter(F.col("vec_id") % every == 0).select("vec_id", "v", "pivot").mapInArrow(bounded, "query_id long, q array<double>, seed double, home int, wants array<int>"), "exact-queries")
+    homes = {r["home"]: r["n"] for r in asked.groupBy("home").agg(F.count(F.lit(1)).alias("n")).collect()}  # one for each pivot
+    groups = spark.createDataFrame(vectors.grouped(pivots, homes, QUERIES), "home int, group int, groups int")
+    asked = asked.join(F.broadcast(groups), "home").withColumn("part", F.col("group") + F.pmod(F.xxhash64("query_id"), F.col("groups")).cast("int"))
+    asked = asked.select("query_id", "q", "seed", "part", F.explode("wants").alias("pivot"))
+    pairs = _base.staged(asked.select("part", "pivot").distinct(), "exact-pairs")
+    asked = asked.join(F.broadcast(of), "pivot").select("query_id", "q", "seed", "part", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("parts") - 1)).alias("cell"))
+    cells = placed.join(F.broadcast(of), "pivot").select("vec_id", "v", "pivot", (F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")).alias("cell"))
+    spread = cells.join(_base.sized(pairs), "pivot").drop("pivot")
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         left, right = left.sort_by("query_id"), right.sort_by("vec_id")

@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.llm import _base
+
 #: Queries are the rows whose id is divisible by this.
 EVERY = 20
 K = 20
@@ -28,7 +30,7 @@ def clean(df: DataFrame, zero: bool) -> DataFrame:
 
 def sample(rows: DataFrame, most: int) -> np.ndarray:
     """A bounded sample, the rows with the smallest hashes of their ids."""
-    got = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(most).select("vec_id", "v").toArrow().sort_by("vec_id")
+    got = _base.smallest(rows.select("vec_id", "v"), most, "vec_id").toArrow().sort_by("vec_id")
     return matrix(got.column("v"))
 
 
@@ -62,6 +64,28 @@ def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return out
 
 
+def grouped(at: np.ndarray, counts: dict[int, int], most: int) -> list[tuple[int, int, int]]:
+    """(pivot, first group, groups) of the pivots at that queries are nearest to: neighbours share a group of at most some most
+    queries, many queries of one pivot have several groups of their own."""
+    left, order = dict(counts), []
+    while left:
+        here = at[order[-1]] if order else at[min(left)]
+        keys = list(left)
+        order.append(keys[int(((at[keys] - here) ** 2).sum(1).argmin())])
+        del left[order[-1]]
+    out, group, room = [], 0, most
+    for p in order:
+        if counts[p] > room and room < most:
+            group, room = group + 1, most
+        parts = -(-counts[p] // most)
+        out.append((p, group, parts))
+        if parts > 1:
+            group, room = group + parts, most
+        else:
+            room -= counts[p]
+    return out
+
+
 def best(found: DataFrame, k: int = K) -> DataFrame:
     """query_id, rank, vec_id, score: of each query's candidates from all blocks the k best, ties to the smaller id. A query has k
     candidates from each block at most, so its window is short."""
