@@ -76,7 +76,8 @@ def search(df: DataFrame, every: int = vectors.EVERY, k: int = vectors.K, probe:
     Vectors that are null, empty, zero or hold a null or non-finite component take no part, nor do null ids or other lengths than
     the most frequent. Rows with one id are candidates each, but never for their own id's query. Ties go to the smaller id.
     Lists are dealt into blocks of at most some BLOCK rows, a large list into several by a hash of the id, so that equal vectors
-    never meet in one task; queries go to blocks that hold a list they probe, some QUERIES at a time."""
+    never meet in one task; queries, some QUERIES of neighbouring lists at a time, go to the blocks that hold a list they probe, and
+    a block's rows to the groups of queries only that do so."""
     spark = df.sparkSession
     _base.prepare(spark)
     rows = vectors.clean(df, zero=False)
@@ -93,8 +94,8 @@ def search(df: DataFrame, every: int = vectors.EVERY, k: int = vectors.K, probe:
             near, codes = sent.value.encode(x) if len(x) else (np.zeros(0, np.int64), np.zeros((0, 1), np.uint8))
             yield pa.record_batch([b.column(0), pa.array(near, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), b.column(1)], names=["vec_id", "list", "codes", "v"])
 
-    coded = _base.staged(rows.mapInArrow(encode, "vec_id long, list int, codes binary, v array<double>"), "ann-index")
-    counts = {r["list"]: r["n"] for r in coded.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}  # one for each list
+    indexed = _base.staged(rows.mapInArrow(encode, "vec_id long, list int, codes binary, v array<double>"), "ann-index")
+    counts = {r["list"]: r["n"] for r in indexed.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}  # one for each list
     index.size = np.array([counts.get(c, 0) for c in range(len(index.coarse))])
     sized = spark.sparkContext.broadcast(index)
     first, parts, at, room = {}, {}, 0, BLOCK
@@ -107,12 +108,13 @@ def search(df: DataFrame, every: int = vectors.EVERY, k: int = vectors.K, probe:
         else:
             room -= counts[c]
     of = spark.createDataFrame([(c, first[c], parts[c]) for c in counts], "list int, first int, parts int")
-    coded = coded.join(F.broadcast(of), "list").withColumn("block", F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
+    coded = indexed.join(F.broadcast(of), "list").withColumn("block", F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
     blocks = {c: list(range(first[c], first[c] + parts[c])) for c in counts}
-    queries = rows.filter(F.col("vec_id") % every == 0)
+    queries = indexed.filter(F.col("vec_id") % every == 0).select("vec_id", "v", "list")
     # a query's own rows are no candidates, so its lists are to hold as many more
     own = queries.groupBy("vec_id").agg((F.count(F.lit(1)) + k).alias("least"))
-    groups = max(1, -(-queries.count() // QUERIES))
+    homes = {r["list"]: r["n"] for r in queries.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}  # one for each list
+    groups = {c: (a, n) for c, a, n in vectors.grouped(index.coarse, homes, QUERIES)}
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -120,10 +122,12 @@ def search(df: DataFrame, every: int = vectors.EVERY, k: int = vectors.K, probe:
             mask = sized.value.probes(q, probe, b.column(2).to_numpy()) if len(q) else np.zeros((0, 0), bool)
             to = [sorted({x for c in np.flatnonzero(m).tolist() for x in blocks.get(c, ())}) for m in mask]
             each = np.repeat(np.arange(len(to)), [len(t) for t in to])
-            yield pa.record_batch([*(c.take(pa.array(each)) for c in b.columns), pa.array([x for t in to for x in t], pa.int32())], names=["query_id", "q", "least", "block"])
+            part = np.array([groups[c][0] + i % groups[c][1] for c, i in zip(b.column(3).to_pylist(), b.column(0).to_pylist())], np.int32)
+            yield pa.record_batch([*(c.take(pa.array(each)) for c in b.columns[:3]), pa.array([x for t in to for x in t], pa.int32()), pa.array(part[each], pa.int32())], names=["query_id", "q", "least", "block", "part"])
 
-    asked = queries.join(own, "vec_id").select("vec_id", "v", "least").mapInArrow(route, "query_id long, q array<double>, least long, block int").withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int"))
-    spread = coded.select("block", "vec_id", "list", "codes", "v", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"))
+    asked = _base.staged(queries.join(own, "vec_id").select("vec_id", "v", "least", "list").mapInArrow(route, "query_id long, q array<double>, least long, block int, part int"), "ann-queries")
+    pairs = _base.staged(asked.select("block", "part").distinct(), "ann-pairs")
+    spread = coded.select("block", "vec_id", "list", "codes", "v").join(_base.sized(pairs), "block")
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         left, right = left.sort_by("query_id"), right.sort_by("vec_id")
