@@ -22,8 +22,10 @@ SYMBOLS = WORDS + CLASSES + 1
 END = SYMBOLS - 1
 #: Words whose counts go to every worker, the most frequent; all others are looked up by a join.
 HOT = 400_000
-#: Passes of Baum-Welch over all training texts; tokens of a piece of text in training; texts that the start is made from.
-PASSES, PIECE, START = 3, 256, 2_000
+#: Passes of Baum-Welch over all training texts end once log10 of a token's likelihood rises by less than GAIN, or after PASSES.
+PASSES, GAIN = 12, 0.001
+#: Tokens of the pieces that a text is worked on in, joined at their ends; texts that the start is made from.
+PIECE, START = 256, 2_000
 FOLDS, HELD_OUT = 5, 1
 #: Bytes of text, and tokens, that are worked on at once.
 CHUNK, TOKENS = 4 << 20, 1 << 18
@@ -244,7 +246,8 @@ def joined(m: Model, symbols: np.ndarray, cut: np.ndarray, first: np.ndarray) ->
 
 
 def expected(m: Model, symbols: np.ndarray, off: np.ndarray, at_start: np.ndarray, before: np.ndarray | None = None, after: np.ndarray | None = None):
-    """One expectation step: expected starts, moves and emissions; of pieces with what joins them, also the moves into them."""
+    """One expectation step: expected starts, moves and emissions, and log10 of the likelihood; of pieces with what joins them, also
+    the moves into them."""
     order, first, running = lanes(symbols, off)
     alpha, scales = [], []
     into = np.zeros((len(order), STATES)) if before is None else before[order]
@@ -279,7 +282,7 @@ def expected(m: Model, symbols: np.ndarray, off: np.ndarray, at_start: np.ndarra
         s, g = np.concatenate(seen), np.concatenate(weights)
         for j in range(STATES):
             emits[:, j] = np.bincount(s, g[:, j], SYMBOLS)
-    return starts, moves * m.move, emits
+    return starts, moves * m.move, emits, sum(float(np.log10(s).sum()) for s in scales)
 
 
 def pieces(off: np.ndarray, most: int = PIECE) -> tuple[np.ndarray, np.ndarray]:
@@ -318,9 +321,9 @@ def begin(sample: list[np.ndarray], overall: np.ndarray, seed: int = 1, rounds:
     return Model(share, 0.9 * np.eye(STATES) + 0.1 * share, emit)
 
 
-def fit(texts: DataFrame, v: Vocabulary, passes: int = PASSES) -> Model:
+def fit(texts: DataFrame, passes: int = PASSES, gain: float = GAIN) -> tuple[Model, list[float]]:
     """Baum-Welch over all training texts: tasks emit the sums of their own rows, Spark adds them up, the driver gets one row for
-    each symbol and state."""
+    each symbol and state. Also the log10 likelihood of a token before each pass."""
     spark = texts.sparkSession
     rows = texts.filter(~held_out()).select("symbols")
     table = np.zeros(SYMBOLS)
@@ -334,34 +337,37 @@ def fit(texts: DataFrame, v: Vocabulary, passes: int = PASSES) -> Model:
     for r in rows.mapInArrow(symbol_counts, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():
         table[r["k"]] = r["n"]
     overall = unigram(table)
-    sample = texts.filter(~held_out()).orderBy(F.xxhash64("rid"), "rid").limit(START).select("rid", "symbols").toArrow().sort_by("rid").column("symbols")
+    sample = _base.smallest(texts.filter(~held_out()).select("rid", "symbols"), START, "rid").toArrow().sort_by("rid").column("symbols")
     m = begin([x for c in sample.chunks for x in np.split(*(lambda s, o: (s, o[1:-1]))(*_columns(c)))] if len(sample) else [], overall)
-    for _ in range(passes):
+    trace: list[float] = []
+    while len(trace) < passes and (len(trace) < 2 or trace[-1] - trace[-2] >= gain):
         sent = spark.sparkContext.broadcast(m)  # SYMBOLS by STATES
 
         def step(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            sums = np.zeros((SYMBOLS + STATES + 1, STATES))
+            sums = np.zeros((SYMBOLS + STATES + 2, STATES))
             for b in batches:
                 symbols, off = _columns(b.column(0))
                 cut, first = pieces(off)
                 before, after = joined(sent.value, symbols, cut, first)
                 for part in _base.segments(np.diff(cut), TOKENS):
                     o = cut[part.start : part.stop + 1]
-                    starts, moves, emits = expected(sent.value, symbols[o[0] : o[-1]], o - o[0], first[part], before[part], after[part])
+                    starts, moves, emits, log = expected(sent.value, symbols[o[0] : o[-1]], o - o[0], first[part], before[part], after[part])
                     sums[:SYMBOLS] += emits
                     sums[SYMBOLS : SYMBOLS + STATES] += moves
-                    sums[-1] += starts
+                    sums[-2] += starts
+                    sums[-1, 0] += log
             yield pa.record_batch([pa.array(np.arange(len(sums)), pa.int32()), *(pa.array(sums[:, j]) for j in range(STATES))], names=["k", *(f"s{j}" for j in range(STATES))])
 
         schema = "k int, " + ", ".join(f"s{j} double" for j in range(STATES))
         got = rows.mapInArrow(step, schema).groupBy("k").agg(*(F.sum(f"s{j}").alias(f"s{j}") for j in range(STATES))).collect()
-        sums = np.zeros((SYMBOLS + STATES + 1, STATES))
+        sums = np.zeros((SYMBOLS + STATES + 2, STATES))
         for r in got:
             sums[r["k"]] = r[1:]
-        emits, moves, starts = sums[:SYMBOLS], sums[SYMBOLS : SYMBOLS + STATES], sums[-1]
+        emits, moves, starts = sums[:SYMBOLS], sums[SYMBOLS : SYMBOLS + STATES], sums[-2]
+        trace.append(sums[-1, 0] / max(table.sum(), 1))
         m = Model((starts + 1) / (starts.sum() + STATES), (moves + 0.1) / (moves.sum(1, keepdims=True) + 0.1 * STATES), (emits + PRIOR * overall[:, None]) / (emits.sum(0) + PRIOR))
         sent.unpersist()
-    return m
+    return m, trace
 
 
 def score(docs: DataFrame, passes: int = PASSES, hot: int = HOT) -> DataFrame:
@@ -375,7 +381,7 @@ def score(docs: DataFrame, passes: int = PASSES, hot: int = HOT) -> DataFrame:
     table = counts(training)
     v = vocabulary(table, training.count(), hot)
     texts = encoded(docs, spark.sparkContext.broadcast(v))  # its size is fixed by hot
-    sent = spark.sparkContext.broadcast(fit(texts, v, passes))
+    sent = spark.sparkContext.broadcast(fit(texts, passes)[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
