@@ -5,13 +5,13 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm import _base
 
-#: At most so many labelled rows are learned from, those with the smallest hashes of their ids.
-ROWS = 16_000
+#: At most so many labelled rows are learned from, those with the smallest hashes of their ids, and so many bytes of their texts.
+ROWS, BYTES = 16_000, 128 << 20
 FOLDS, HELD_OUT = 5, 0
 
 
@@ -23,11 +23,14 @@ def fold_of(doc_id: int | None) -> int:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % FOLDS
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int = ROWS) -> DataFrame:
-    """text, label of a bounded sample of the labelled documents that are not held out."""
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int = ROWS, size: int = BYTES) -> DataFrame:
+    """text, label of a bounded sample of the labelled documents that are not held out: rows at most, as many as have size bytes
+    together, one for each id (the least text of an id that several rows have; null counts as empty)."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (fold() != HELD_OUT))
-    known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "label")
+    known = _base.smallest(known.groupBy("doc_id").agg(F.max(label).cast("int").alias("label")), rows, "doc_id")
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
+    before = Window.orderBy(F.xxhash64("doc_id"), "doc_id")  # rows of them at most
+    return found.withColumn("_sum", F.sum(F.octet_length("text").cast("long")).over(before)).filter(F.col("_sum") <= size).select("text", "label")
 
 
 PUNCTUATION = np.array([not (b > 127 or chr(b).isalnum() or b in b" \t\n\r\x0b\x0c") for b in range(256)])

@@ -109,10 +109,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
                 w = pa.array(where, pa.int32())
                 yield pa.record_batch([
                     b.column(1).slice(part.start, part.stop - part.start), pa.ListArray.from_arrays(w, pa.array(ids, pa.int32())),
-                    pa.ListArray.from_arrays(w, pa.array(np.minimum(count, 32767), pa.int16())), pa.ListArray.from_arrays(pa.array(np.arange(len(stats) + 1) * labelled.STATS, pa.int32()), pa.array(stats.ravel())),
+                    pa.ListArray.from_arrays(w, pa.array(count, pa.int32())), pa.ListArray.from_arrays(pa.array(np.arange(len(stats) + 1) * labelled.STATS, pa.int32()), pa.array(stats.ravel())),
                 ], names=["label", "ids", "counts", "stats"])
 
-    got = labelled.training_rows(docs, labels, label, rows).mapInArrow(features, "label int, ids array<int>, counts array<short>, stats array<double>").toArrow()
+    got = labelled.training_rows(docs, labels, label, rows).mapInArrow(features, "label int, ids array<int>, counts array<int>, stats array<double>").toArrow()
     y = got.column("label").to_numpy().astype(np.float64)
     pairs = list(zip(*(_lists(got.column(c)) for c in ("ids", "counts"))))
     stats = np.array(_lists(got.column("stats"))).reshape(-1, labelled.STATS)
@@ -140,7 +140,14 @@ def score(docs: DataFrame, machine: Machine, keep: list[str]) -> DataFrame:
             s = sent.value.scores(*_base.texts_of(b.column(0)))
             yield pa.record_batch([*b.columns[1:], pa.array(s, pa.float64())], names=schema.names)
 
-    return docs.select(F.col("text").alias("_text"), *keep).mapInArrow(run, schema)
+    return docs.select(F.col("text").alias(_base.fresh(docs, "text_")[0]), *keep).mapInArrow(run, schema)
+
+
+def accepted(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs whose score is threshold or more, with all columns."""
+    row, at = _base.fresh(docs, "row_", "score_")
+    scored = score(docs.withColumn(row, F.struct(*(F.col(f"`{c}`") for c in docs.columns))), machine, [row])
+    return scored.withColumnRenamed("score", at).filter(F.col(at) >= threshold).select(f"{row}.*")
 
 
 def classify(docs: DataFrame, labels: DataFrame, rows: int = labelled.ROWS) -> DataFrame:
