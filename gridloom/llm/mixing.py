@@ -49,8 +49,8 @@ def copies(docs: DataFrame, targets: DataFrame, seed: str = SEED) -> DataFrame:
 
     A source may be null or hold most rows: the few rows of targets are joined null-safely, and Spark splits a hot source."""
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    t = targets.withColumnRenamed("source", "_source")
-    out = docs.join(t, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    (name,) = _base.fresh(docs, "source_")
+    out = docs.join(targets.withColumnRenamed("source", name), F.col("source").eqNullSafe(F.col(name))).drop(name)
     return out.withColumn("copies", (F.floor(rate) + (draw(seed=seed) < rate - F.floor(rate)).cast("long")).cast("long"))
 
 

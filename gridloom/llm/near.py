@@ -300,13 +300,14 @@ def deduplicate(docs: DataFrame, link: int = STAGE_LINK, width: int = WIDTH) ->
     of = components_of(docs, link, width)
     of = _base.staged(of, "near-of")
     lose = of.filter(~F.col("first")).select("doc_id", "k1", "k2").distinct()
-    lose = _base.sized(_base.staged(lose, "near-lose")).select(F.col("doc_id").alias("_id"), F.col("k1").alias("_l1"), F.col("k2").alias("_l2"))
+    name, a, b, x, y = _base.fresh(docs, "id_", "k1_", "k2_", "l1_", "l2_")
+    lose = _base.sized(_base.staged(lose, "near-lose")).select(F.col("doc_id").alias(name), F.col("k1").alias(x), F.col("k2").alias(y))
     k1, k2 = _base.text_key()
-    keyed = docs.withColumns({"_k1": k1, "_k2": k2})
-    out = keyed.join(lose, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_k1") == F.col("_l1")) & (F.col("_k2") == F.col("_l2")), "left_anti")
+    keyed = docs.withColumns({a: k1, b: k2})
+    out = keyed.join(lose, F.col("doc_id").eqNullSafe(F.col(name)) & (F.col(a) == F.col(x)) & (F.col(b) == F.col(y)), "left_anti")
     again = of.filter("n_shingles > 0").groupBy("doc_id", "k1", "k2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("k1", "k2").distinct()
     again = _base.staged(again, "near-again")
     if _base.rows(again):
-        some = _base.sized(again.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")))
-        out = out.join(some, ["_k1", "_k2"], "left_anti").unionByName(out.join(some, ["_k1", "_k2"], "left_semi").dropDuplicates(["doc_id", "_k1", "_k2"]))
-    return out.select(*docs.columns)
+        some = _base.sized(again.select(F.col("k1").alias(a), F.col("k2").alias(b)))
+        out = out.join(some, [a, b], "left_anti").unionByName(out.join(some, [a, b], "left_semi").dropDuplicates(["doc_id", a, b]))
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns))

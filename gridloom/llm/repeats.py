@@ -29,7 +29,7 @@ from gridloom.llm import _base
 LENGTH = 400
 #: Of the pipeline's stage: 50 words of four letters and a space have 250 bytes.
 STAGE_LENGTH = 240
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: Windows of a run in the third round.
 STEP = 32
 #: Bits for places in a part, which is a little longer than CHUNK.

@@ -333,8 +333,43 @@ def test_forward_and_expected_counts():
             log += math.log10(a.sum())
             a = (a / a.sum()) @ m.move * m.emit[x]
         assert math.isclose(log + math.log10(a.sum()), g, rel_tol=1e-9)
-    starts, moves, emits = hmm.expected(m, np.concatenate(seqs), off, np.ones(3, bool))
+    starts, moves, emits, log = hmm.expected(m, np.concatenate(seqs), off, np.ones(3, bool))
     assert math.isclose(starts.sum(), 3) and math.isclose(moves.sum(), off[-1] - 3) and math.isclose(emits.sum(), off[-1])
+    want = plain_expectation(m, seqs)
+    assert all(np.allclose(a, b, rtol=1e-9, atol=1e-12) for a, b in zip((starts, moves, emits, log), want)) and math.isclose(log, got.sum(), rel_tol=1e-9)
+
+
+def plain_expectation(m, seqs):
+    """Forward and backward step by step, without lanes, pieces or scaled sums over texts."""
+    starts, moves, emits, log = np.zeros(8), np.zeros((8, 8)), np.zeros((hmm.SYMBOLS, 8)), 0.0
+    for s in seqs:
+        a, b, c = np.zeros((len(s), 8)), np.ones((len(s), 8)), np.zeros(len(s))
+        for t, x in enumerate(s):
+            a[t] = (m.start if t == 0 else a[t - 1] @ m.move) * m.emit[x]
+            c[t] = a[t].sum()
+            a[t] /= c[t]
+        for t in range(len(s) - 2, -1, -1):
+            b[t] = m.move @ (m.emit[s[t + 1]] * b[t + 1]) / c[t + 1]
+        for t, x in enumerate(s):
+            emits[x] += a[t] * b[t]
+            if t:
+                moves += np.outer(a[t - 1], m.emit[x] * b[t] / c[t]) * m.move
+        starts += a[0] * b[0]
+        log += np.log10(c).sum()
+    return starts, moves, emits, log
+
+
+def test_likelihood_rises_until_it_converges(spark):
+    rng = random.Random(4)
+    kinds = [[f"{c}{i}" for i in range(30)] for c in "abc"]
+    rows = [(i, " ".join(rng.choice(kinds[i % 3 if j < 20 else (i + 1) % 3]) for j in range(40))) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    table = hmm.counts(df.filter(~hmm.held_out()))
+    texts = hmm.encoded(df, spark.sparkContext.broadcast(hmm.vocabulary(table, df.filter(~hmm.held_out()).count())))
+    _, trace = hmm.fit(texts, passes=20)
+    assert all(b >= a - 1e-6 for a, b in zip(trace, trace[1:])) and 2 <= len(trace) < 20 and trace[-1] - trace[-2] < hmm.GAIN
+
+
 
 
 @pytest.fixture(scope="module")
@@ -370,6 +405,28 @@ def test_exact_search(spark, vectors, monkeypatch):
     assert len(rows20) and exact.search(df.limit(0)).count() == 0
 
 
+def test_clustered_vectors_meet_few_cells(spark, monkeypatch):
+    """Rows go only to the groups of queries that ask for their cell, and results are those of brute force."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(0, 40, (6, 8))
+    x = np.concatenate([c + rng.normal(0, 0.4, (150, 8)) for c in centres])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    for name, value in (("CELL", 150), ("QUERIES", 8)):
+        monkeypatch.setattr(exact, name, value)
+    whole = np.floor(64 * x)
+    s = whole @ whole.T
+    want = []
+    for q in range(0, len(x), 10):
+        order = sorted((-s[q, j], j) for j in range(len(x)) if j != q)[:5]
+        want += [(q, r + 1, j, int(-v)) for r, (v, j) in enumerate(order)]
+    seen = []
+    staged = _base.staged
+    monkeypatch.setattr(exact._base, "staged", lambda df, name, *a: seen.append((name, out := staged(df, name, *a))) or out)
+    got = sorted(tuple(r) for r in exact.search(df, 10, 5).collect())
+    pairs = dict(seen)["exact-pairs"]
+    assert got == want and pairs.count() < pairs.select("part").distinct().count() * pairs.select("pivot").distinct().count()
+
+
 def test_pruning_loses_nothing_and_prunes():
     rng = np.random.default_rng(6)
     x = np.concatenate([rng.normal(c, 0.05, (300, 4)) for c in (-9, 0, 9)]) * 64 // 1
