@@ -3,7 +3,8 @@
 1. The quality classifier rejects documents that score below its threshold. Known labels are never rejected or kept as such;
    they only train it.
 2. Of near-duplicates (words in fives, similarity 0.8 or more) the document with the smallest id stays.
-3. Bytes of strings of 400 bytes that start more than once in what is left go; a document of which nothing is left stays, empty.
+3. Bytes of strings of repeats.STAGE_LENGTH bytes (some 50 words) that start more than once in what is left go; a document of
+   which nothing is left stays, empty.
 4. Sources are mixed to target weights: a document comes out as often as it is taken, or not at all.
 5. What was taken is packed; the result has a row for each piece of a document in a sequence.
 
@@ -21,10 +22,7 @@ from gridloom.llm import _base, mixing, near, packing, quality, repeats
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    names = docs.columns
-    machine = quality.train(docs, _base.table(spark, sf_dir, "labels"))
-    scored = quality.score(docs.withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in names])), machine, ["_row"])
-    return scored.filter(F.col("score") >= quality.THRESHOLD).select("_row.*")
+    return quality.accepted(docs, quality.train(docs, _base.table(spark, sf_dir, "labels")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +59,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _base.table(spark, sf_dir, "documents")
     at = f"{_base.shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for i, (name, stage) in enumerate(STAGES):
+        mark = _base.written()
         out = stage(spark, docs, sf_dir)
         out.write.parquet(f"{at}/{i}-{name}")
+        _base.drop_since(mark)
         docs = spark.read.schema(out.schema).parquet(f"{at}/{i}-{name}")
     return docs
