@@ -9,15 +9,17 @@ weights   i int, j int, w array<double>: the bias last
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LEVEL_DTYPES = {"u8": 255.0, "u16": 65535.0, "u32": 4294967295.0}
 
 
 def to_pixels(lines: DataFrame) -> DataFrame:
+    """A line that is null or empty has no pixels. The outer form keeps Spark from inferring a filter on px, which it would push
+    below the sums that px is made of and so repeat them for each use."""
     keep = [c for c in lines.columns if c != "px"]
-    return lines.select(*keep, F.posexplode("px").alias("x", "v"))
+    return lines.select(*keep, F.posexplode_outer("px").alias("x", "v")).filter("x is not null")
 
 
 def to_lines(pixels: DataFrame) -> DataFrame:
@@ -29,7 +31,3 @@ def to_lines(pixels: DataFrame) -> DataFrame:
 def heights(lines: DataFrame) -> DataFrame:
     """image_id, h, w: one row for each image."""
     return lines.groupBy("image_id").agg((F.max("y") + 1).alias("h"), F.max(F.size("px")).alias("w"))
-
-
-def in_order(*by: str) -> Window:
-    return Window.partitionBy("image_id").orderBy(*by)
