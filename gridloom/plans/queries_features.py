@@ -62,10 +62,14 @@ def correlate_xy_gauss(spark, sf_dir):
     return shown(resample.correlate(raster.vectors_as_image(spark, sf_dir), d, g))
 
 
-_EDGE = (
-    f"{S.same('px', 'ga', GAUSS, 'y')}, {S.same('ga', 'gx', DERIVATIVE, 'x')}, {S.same('px', 'gb', DERIVATIVE, 'y')}, {S.same('gb', 'gy', GAUSS, 'x')}, "
-    "mag AS MATERIALIZED (SELECT gx.y, gx.x, sqrt(gx.v * gx.v + gy.v * gy.v) AS v FROM gx JOIN gy USING (y, x))"
-)
+def _edge_sql(src: str) -> str:
+    return (
+        f"{S.same(src, 'ea', GAUSS, 'y')}, {S.same('ea', 'ex', DERIVATIVE, 'x')}, {S.same(src, 'eb', DERIVATIVE, 'y')}, {S.same('eb', 'ey', GAUSS, 'x')}, "
+        "mag AS MATERIALIZED (SELECT ex.y, ex.x, sqrt(ex.v * ex.v + ey.v * ey.v) AS v FROM ex JOIN ey USING (y, x))"
+    )
+
+
+_EDGE = _edge_sql("px")
 
 
 @query(f"WITH {S.PX}, {_EDGE} {V} mag")
@@ -103,10 +107,15 @@ def integral_image(spark, sf_dir):
 
 
 _ONE, _HALF = [1.0] * 16, [-1.0] * 8 + [1.0] * 8
-_HAAR = (
-    f"{S.same('ux', 'dn', _ONE, 'y', 7)}, {S.same('dn', 'hx', _HALF, 'x', 7)}, {S.same('dn', 'ar', _ONE, 'x', 7)}, {S.same('ux', 'dh', _HALF, 'y', 7)}, {S.same('dh', 'hy', _ONE, 'x', 7)}, "
-    "f AS (SELECT y, 0 AS feat, x, CASE WHEN ar.v > 0 THEN hx.v / ar.v ELSE 0 END AS v FROM hx JOIN ar USING (y, x) UNION ALL SELECT y, 1 AS feat, x, CASE WHEN ar.v > 0 THEN hy.v / ar.v ELSE 0 END FROM hy JOIN ar USING (y, x))"
-)
+def _haar_sql(src: str, to: str) -> str:
+    p = f"{to}_"
+    return (
+        f"{S.same(src, p + 'dn', _ONE, 'y', 7)}, {S.same(p + 'dn', p + 'hx', _HALF, 'x', 7)}, {S.same(p + 'dn', p + 'ar', _ONE, 'x', 7)}, {S.same(src, p + 'dh', _HALF, 'y', 7)}, {S.same(p + 'dh', p + 'hy', _ONE, 'x', 7)}, "
+        f"{to} AS (SELECT y, 0 AS feat, x, CASE WHEN ar.v > 0 THEN hx.v / ar.v ELSE 0 END AS v FROM {p}hx hx JOIN {p}ar ar USING (y, x) UNION ALL SELECT y, 1 AS feat, x, CASE WHEN ar.v > 0 THEN hy.v / ar.v ELSE 0 END FROM {p}hy hy JOIN {p}ar ar USING (y, x))"
+    )
+
+
+_HAAR = _haar_sql("ux", "f")
 
 
 @query(f"WITH {S.UNIT}, {_HAAR} SELECT y, feat, x, {S.r6('v')} AS v FROM f")
@@ -114,12 +123,12 @@ def haar(spark, sf_dir):
     return schema.to_pixels(features.haar(unit_lines(spark, sf_dir))).select("y", "feat", "x", r6(F.col("v")).alias("v"))
 
 
-def _gradient_sql(grid: str) -> str:
-    """g(y, x, dx, dy) for the places of a grid(y, x), which may lie beyond the image."""
+def _gradient_sql(grid: str, src: str = "px") -> str:
+    """g(y, x, dx, dy) for the places of a grid(y, x), which may lie beyond the image src."""
     at = {"y0": "y", "ya": "y + 1", "yb": "y - 1"}, {"x0": "x", "xa": "x + 1", "xb": "x - 1"}
     cols = ", ".join(f"CAST({S.symmetric(f'g.{e}', 'hw.h' if e[0] == 'y' else 'hw.w')} AS INTEGER) AS {n}" for part in at for n, e in part.items())
-    joins = " ".join(f"JOIN px {n} ON {n}.y = p.{y} AND {n}.x = p.{x}" for n, y, x in (("e", "y0", "xa"), ("w", "y0", "xb"), ("s", "ya", "x0"), ("n", "yb", "x0")))
-    return f"{S.size('px')}, gp AS MATERIALIZED (SELECT g.y, g.x, {cols} FROM {grid} g CROSS JOIN hw), g AS MATERIALIZED (SELECT p.y, p.x, e.v - w.v AS dx, s.v - n.v AS dy FROM gp p {joins})"
+    joins = " ".join(f"JOIN {src} {n} ON {n}.y = p.{y} AND {n}.x = p.{x}" for n, y, x in (("e", "y0", "xa"), ("w", "y0", "xb"), ("s", "ya", "x0"), ("n", "yb", "x0")))
+    return f"{S.size(src)}, gp AS MATERIALIZED (SELECT g.y, g.x, {cols} FROM {grid} g CROSS JOIN hw), g AS MATERIALIZED (SELECT p.y, p.x, e.v - w.v AS dx, s.v - n.v AS dy FROM gp p {joins})"
 
 
 _GRAD = _gradient_sql("px")
@@ -131,18 +140,22 @@ def hog_bins(spark, sf_dir):
     return features.hog_bins(raster.vectors_as_image(spark, sf_dir)).select("y", "x", "bin", r6(F.col("mag")).alias("mag"))
 
 
-_HOG = (
-    "hw0 AS (SELECT max(y) + 1 AS h, max(x) + 1 AS w FROM px), vg AS (SELECT y, x FROM (SELECT unnest(range(-7, CAST(h + 8 AS BIGINT))) AS y FROM hw0) CROSS JOIN (SELECT unnest(range(-7, CAST(w + 8 AS BIGINT))) AS x FROM hw0)), "
-    f"{_gradient_sql('vg')}, "
-    f"gb AS (SELECT y, x, {_BIN} AS bin, sqrt(dx * dx + dy * dy) AS mag FROM g), bb AS (SELECT unnest(range(0, 9)) AS b), "
-    "c0 AS (SELECT y, x, b, CASE WHEN bin = b THEN mag ELSE 0 END AS v FROM gb CROSS JOIN bb), "
-    "c1 AS (SELECT y, x, b, sum(v) OVER (PARTITION BY b, y ORDER BY x ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS v FROM c0), "
-    "c2 AS (SELECT y, x, b, sum(v) OVER (PARTITION BY b, x ORDER BY y ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS v FROM c1), "
-    "r AS (SELECT c2.y + 7 - 8 * i AS y, c2.x + 7 - 8 * j AS x, CAST((i * 2 + j) * 9 + b AS INTEGER) AS feat, v FROM c2 CROSS JOIN (SELECT unnest(range(0, 2)) AS i) CROSS JOIN (SELECT unnest(range(0, 2)) AS j)), "
-    "q AS (SELECT r.* FROM r CROSS JOIN hw WHERE y >= 0 AND y < h AND x >= 0 AND x < w), "
-    "n1 AS (SELECT y, x, feat, CASE WHEN sqrt(sum(v * v) OVER (PARTITION BY y, x)) > 0 THEN least(0.2, v / sqrt(sum(v * v) OVER (PARTITION BY y, x))) ELSE 0 END AS v FROM q), "
-    "f AS (SELECT CAST(y AS INTEGER) AS y, x, feat, CASE WHEN sqrt(sum(v * v) OVER (PARTITION BY y, x)) > 0 THEN v / sqrt(sum(v * v) OVER (PARTITION BY y, x)) ELSE 0 END AS v FROM n1)"
-)
+def _hog_sql(src: str, to: str) -> str:
+    return (
+        f"hw0 AS (SELECT max(y) + 1 AS h, max(x) + 1 AS w FROM {src}), vg AS (SELECT y, x FROM (SELECT unnest(range(-7, CAST(h + 8 AS BIGINT))) AS y FROM hw0) CROSS JOIN (SELECT unnest(range(-7, CAST(w + 8 AS BIGINT))) AS x FROM hw0)), "
+        f"{_gradient_sql('vg', src)}, "
+        f"gb AS (SELECT y, x, {_BIN} AS bin, sqrt(dx * dx + dy * dy) AS mag FROM g), bb AS (SELECT unnest(range(0, 9)) AS b), "
+        "c0 AS (SELECT y, x, b, CASE WHEN bin = b THEN mag ELSE 0 END AS v FROM gb CROSS JOIN bb), "
+        "c1 AS (SELECT y, x, b, sum(v) OVER (PARTITION BY b, y ORDER BY x ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS v FROM c0), "
+        "c2 AS (SELECT y, x, b, sum(v) OVER (PARTITION BY b, x ORDER BY y ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS v FROM c1), "
+        "r AS (SELECT c2.y + 7 - 8 * i AS y, c2.x + 7 - 8 * j AS x, CAST((i * 2 + j) * 9 + b AS INTEGER) AS feat, v FROM c2 CROSS JOIN (SELECT unnest(range(0, 2)) AS i) CROSS JOIN (SELECT unnest(range(0, 2)) AS j)), "
+        "q AS (SELECT r.* FROM r CROSS JOIN hw WHERE y >= 0 AND y < h AND x >= 0 AND x < w), "
+        "n1 AS (SELECT y, x, feat, CASE WHEN sqrt(sum(v * v) OVER (PARTITION BY y, x)) > 0 THEN least(0.2, v / sqrt(sum(v * v) OVER (PARTITION BY y, x))) ELSE 0 END AS v FROM q), "
+        f"{to} AS (SELECT CAST(y AS INTEGER) AS y, x, feat, CASE WHEN sqrt(sum(v * v) OVER (PARTITION BY y, x)) > 0 THEN v / sqrt(sum(v * v) OVER (PARTITION BY y, x)) ELSE 0 END AS v FROM n1)"
+    )
+
+
+_HOG = _hog_sql("px", "f")
 
 
 @query(f"WITH {S.PX}, {_HOG} {S.summary('f')}")
@@ -221,3 +234,106 @@ def context_downsample(spark, sf_dir):
     inverse = level1.withColumn("px", F.transform("px", lambda v: 1.0 - v))
     rows = cascade.contexts_below(carried, inverse)
     return schema.to_pixels(rows).select("context", "y", "x", r6(F.col("v")).alias("v"))
+
+
+def filterbank_sql() -> str:
+    """Haar, HOG, edge and stencil features of the unit image, each as in its own query."""
+    square = [(dx, dy) for dx in range(-3, 4) for dy in range(-3, 4)]
+    parts = [S.UNIT, _haar_sql("ux", "fa"), _hog_sql("ux", "fb"), _edge_sql("ux"), _shift_sql("mag", square, "fc"), _shift_sql("ux", arms(10), "fd")]
+    union = " UNION ALL ".join(f"SELECT y, feat + {first} AS feat, x, v FROM {name}" for first, name in ((0, "fa"), (2, "fb"), (38, "fc"), (87, "fd")))
+    return f"WITH {', '.join(parts)}, f AS ({union}) {S.summary('f')}"
+
+
+def arms(r: int) -> list[tuple[int, int]]:
+    return [(dx, dy) for dy in range(-r, r + 1) for dx in range(-r, r + 1) if dx * dy == 0 or abs(dx) == abs(dy)]
+
+
+def frangi_bank_sql() -> str:
+    parts, ridges = [S.UNIT, "ix AS (SELECT y, x, 1 - v AS v FROM ux)"], []
+    for turn, src in enumerate(("ux", "ix")):
+        for k, sigma in enumerate((2, 3, 4, 5, 7, 9, 11)):
+            p = f"{'hi'[turn]}{k}"
+            parts.append(_hessian_sql(src, p, sigma))
+            ridges.append(_ridge(p, 7 * turn + k))
+    return f"WITH {', '.join(parts)}, f AS ({' UNION ALL '.join(ridges)}) {S.summary('f')}"
+
+
+def hog_compat_sql() -> str:
+    """Each pixel's own 15 by 15 patch, zero outside: bins of 20 degrees and cells of 8 pixels share their votes linearly."""
+    soft = []
+    for i in range(15):
+        at = i / 8 + 0.5
+        rest = at - int(at) + 1 / 16
+        soft.append(tuple((1 - rest if int(at) == c else 0) + (rest if int(at) + 1 == c else 0) for c in (1, 2)))
+    cells = "(VALUES " + ", ".join(f"({i}, CAST({a!r} AS DOUBLE), CAST({b!r} AS DOUBLE))" for i, (a, b) in enumerate(soft)) + ")"
+    around = lambda n: f"unnest(range(-7, CAST(hw.{n} + 7 AS BIGINT)))"
+    return (
+        f"WITH {S.UNIT}, {S.size('ux')}, gy AS (SELECT {around('h')} AS y FROM hw), gx AS (SELECT {around('w')} AS x FROM hw), "
+        f"pp AS MATERIALIZED (SELECT gy.y, gx.x, s.v FROM gy CROSS JOIN gx CROSS JOIN hw JOIN ux s ON s.y = {S.symmetric('gy.y', 'hw.h')} AND s.x = {S.symmetric('gx.x', 'hw.w')}), "
+        "nb AS MATERIALIZED (SELECT p.y, p.x, coalesce(e.v, 0) AS e, coalesce(w.v, 0) AS w, coalesce(n.v, 0) AS n, coalesce(s.v, 0) AS s FROM pp p LEFT JOIN pp e ON e.y = p.y AND e.x = p.x + 1 LEFT JOIN pp w ON w.y = p.y AND w.x = p.x - 1 "
+        "LEFT JOIN pp n ON n.y = p.y - 1 AND n.x = p.x LEFT JOIN pp s ON s.y = p.y + 1 AND s.x = p.x), "
+        "d AS (SELECT nb.y - a.i + 7 AS y, nb.x - b.i + 7 AS x, a.lo AS a0, a.hi AS a1, b.lo AS b0, b.hi AS b1, CASE WHEN b.i = 14 THEN 0 ELSE e END - CASE WHEN b.i = 0 THEN 0 ELSE w END AS dx, "
+        f"CASE WHEN a.i = 0 THEN 0 ELSE n END - CASE WHEN a.i = 14 THEN 0 ELSE s END AS dy FROM nb CROSS JOIN {cells} AS a(i, lo, hi) CROSS JOIN {cells} AS b(i, lo, hi)), "
+        "g AS (SELECT d.*, sqrt(dx * dx + dy * dy) AS mag, (atan2(dy, dx) + CASE WHEN dy < 0 THEN pi() ELSE 0 END) * (9 / pi()) + 0.5 AS place FROM d, hw WHERE y >= 0 AND y < h AND x >= 0 AND x < w), "
+        "sh AS (SELECT g.*, CAST(floor(place) AS INTEGER) AS up, place - floor(place) AS share FROM g WHERE mag > 0), "
+        "vt AS (SELECT y, x, a0, a1, b0, b1, CASE WHEN up = 0 THEN 8 ELSE up - 1 END AS bin, mag * (1 - share) AS v FROM sh UNION ALL SELECT y, x, a0, a1, b0, b1, CASE WHEN up = 9 THEN 0 ELSE up END, mag * share FROM sh), "
+        "cl AS MATERIALIZED (SELECT y, x, bin, sum(v * a0 * b0) AS c0, sum(v * a0 * b1) AS c1, sum(v * a1 * b0) AS c2, sum(v * a1 * b1) AS c3 FROM vt GROUP BY y, x, bin), "
+        "q AS (SELECT ux.y, ux.x, c * 9 + k AS feat, coalesce(CASE c WHEN 0 THEN c0 WHEN 1 THEN c1 WHEN 2 THEN c2 ELSE c3 END, 0) AS v FROM ux CROSS JOIN (SELECT unnest(range(0, 4)) AS c) CROSS JOIN (SELECT unnest(range(0, 9)) AS k) LEFT JOIN cl ON cl.y = ux.y AND cl.x = ux.x AND cl.bin = k), "
+        "n0 AS (SELECT y, x, sqrt(sum(v * v)) AS n FROM q GROUP BY y, x), n1 AS (SELECT q.y, q.x, feat, CASE WHEN n > 0 THEN least(0.2, v / n) ELSE 0 END AS v FROM q JOIN n0 USING (y, x)), "
+        "n2 AS (SELECT y, x, sqrt(sum(v * v)) AS n FROM n1 GROUP BY y, x), f AS (SELECT n1.y, n1.x, CAST(feat AS INTEGER) AS feat, CASE WHEN n > 0 THEN v / n ELSE 0 END AS v FROM n1 JOIN n2 USING (y, x)) "
+        f"{S.summary('f')}"
+    )
+
+
+def _network_sql(name: str, images: list[tuple[str, int, bool]], contexts: list[str], weights) -> str:
+    """name(y, x, v): the network's outputs from features (table, how many, whether half is added) and stencils around contexts."""
+    parts, first, union = [], 0, []
+    for table, n, add in images:
+        union.append(f"SELECT y, x, feat + {first} AS feat, v{' + 0.5' if add else ''} AS v FROM {table}")
+        first += n
+    for k, table in enumerate(contexts):
+        parts.append(_shift_sql(table, arms(1), f"{name}c{k}"))
+        union.append(f"SELECT y, x, feat + {first} AS feat, v FROM {name}c{k}")
+        first += 9
+    w = "(VALUES " + ", ".join(f"({i}, {j}, {k}, CAST({weights[i, j, k].item()!r} AS DOUBLE))" for i in range(weights.shape[0]) for j in range(weights.shape[1]) for k in range(weights.shape[2])) + ") AS w(i, j, feat, w)"
+    assert weights.shape[2] == first + 1
+    parts.append(f"{name}w AS (SELECT * FROM {w}), {name}z AS (SELECT y, x, i, j, sum(w * v) AS z FROM ({' UNION ALL '.join(union)}) f JOIN {name}w w USING (feat) GROUP BY y, x, i, j)")
+    parts.append(f"{name}s AS (SELECT y, x, z.i, 1 / (1 + exp(-greatest(-709.0, least(37.0, z + b.w)))) AS s FROM {name}z z JOIN {name}w b ON b.i = z.i AND b.j = z.j AND b.feat = {first})")
+    parts.append(f"{name}g AS (SELECT y, x, i, product(s) AS g FROM {name}s GROUP BY y, x, i), {name} AS MATERIALIZED (SELECT y, x, 1 - product(1 - g) AS v FROM {name}g GROUP BY y, x)")
+    return ", ".join(parts)
+
+
+def cascade_sql(weights: dict) -> str:
+    """Two stages and one level by whole images: the features of the image and of its half, and what each stage makes of them."""
+    parts = [S.UNIT, S.halve("ux", "hx0"), "half AS MATERIALIZED (SELECT y, x, v FROM hx0)"]
+    for src, p in (("ux", "p"), ("half", "q")):
+        parts += [_haar_sql(src, f"{p}h"), _shift_sql(src, arms(2), f"{p}i")]
+    of = lambda p: [(f"{p}h", 2, True), (f"{p}i", 17, False)]
+    parts += [_network_sql("o10", of("p"), [], weights[1, 0]), S.halve("o10", "o10h"), _network_sql("o11", of("q"), ["o10h"], weights[1, 1])]
+    parts.append("o11u AS MATERIALIZED (SELECT u.y, u.x, s.v FROM ux u JOIN o11 s ON s.y = u.y >> 1 AND s.x = u.x >> 1)")
+    parts.append(_network_sql("o20", of("p"), ["o10", "o11u"], weights[2, 0]))
+    return f"WITH {', '.join(parts)} {V} o20"
+
+
+def sift_sql() -> str:
+    """Over the mirrored image: smoothed, divided by its largest value, its gradient in eight directions, added up in cells of 8 by 8."""
+    bell = lambda n: [math.exp(-((t - n // 2) ** 2) / 2) / sum(math.exp(-((u - n // 2) ** 2) / 2) for u in range(n)) for t in range(n)]
+    b = bell(5)
+    d = [b[1] - b[0], (b[2] - b[0]) / 2, (b[3] - b[1]) / 2, (b[4] - b[2]) / 2, b[4] - b[3]]
+    d = [2 * t / (sum(map(abs, d)) * sum(b)) for t in d]
+    cell = "(VALUES " + ", ".join(f"({k}, {1 - abs(1 + 0.25 * k - 1.875)})" for k in range(8)) + ") AS k(n, t)"
+    angles = "(VALUES " + ", ".join(f"({a}, CAST({math.cos(a * math.pi / 4)!r} AS DOUBLE), CAST({math.sin(a * math.pi / 4)!r} AS DOUBLE))" for a in range(8)) + ") AS t(a, c, s)"
+    around = lambda n: f"unnest(range(0, CAST(hw.{n} + 30 AS BIGINT)))"
+    return (
+        f"WITH {S.UNIT}, {S.size('ux')}, ya AS (SELECT {around('h')} AS y FROM hw), xa AS (SELECT {around('w')} AS x FROM hw), "
+        f"pp AS MATERIALIZED (SELECT CAST(ya.y AS INTEGER) AS y, CAST(xa.x AS INTEGER) AS x, s.v FROM ya CROSS JOIN xa CROSS JOIN hw JOIN ux s ON s.y = {S.symmetric('ya.y - 15', 'hw.h')} AND s.x = {S.symmetric('xa.x - 15', 'hw.w')}), "
+        f"{_valid('pp', 's1', bell(7), 'y')}, {_valid('s1', 's2', bell(7), 'x')}, sm AS MATERIALIZED (SELECT y, x, v / (SELECT max(v) FROM s2) AS v FROM s2), "
+        f"{_valid('sm', 'a1', b, 'y')}, {_valid('a1', 'a2', d, 'x')}, {_valid('sm', 'b1', d, 'y')}, {_valid('b1', 'b2', b, 'x')}, "
+        "m AS (SELECT a2.y, a2.x, a2.v AS dx, b2.v AS dy, sqrt(a2.v * a2.v + b2.v * b2.v) AS mag FROM a2 JOIN b2 USING (y, x)), "
+        f"ch AS (SELECT a, y, x, CASE WHEN mag > 0 THEN greatest(0.0, (dx * c + dy * s) / mag) ** 9 * mag ELSE 0 END AS v FROM m CROSS JOIN {angles}), "
+        f"c1 AS (SELECT a, y - n AS y, x, sum(t * v) AS v FROM ch CROSS JOIN {cell} GROUP BY 1, 2, 3), c2 AS MATERIALIZED (SELECT a, y, x - n AS x, sum(t * v) AS v FROM c1 CROSS JOIN {cell} GROUP BY 1, 2, 3), "
+        "q AS (SELECT y - 1 - 4 * j AS y, x - 1 - 4 * i AS x, CAST((i * 4 + j) * 8 + a AS INTEGER) AS feat, v FROM c2 CROSS JOIN (SELECT unnest(range(0, 4)) AS i) CROSS JOIN (SELECT unnest(range(0, 4)) AS j)), "
+        "f0 AS MATERIALIZED (SELECT q.* FROM q, hw WHERE y >= 0 AND y < h AND x >= 0 AND x < w), n0 AS (SELECT y, x, sum(v * v) AS n FROM f0 GROUP BY y, x), "
+        "f1 AS MATERIALIZED (SELECT f0.y, f0.x, feat, n, v, CASE WHEN n > 0 THEN least(0.2, v / sqrt(n)) ELSE 0 END AS u FROM f0 JOIN n0 USING (y, x)), n1 AS (SELECT y, x, sqrt(sum(u * u)) AS n1 FROM f1 GROUP BY y, x), "
+        f"f AS (SELECT CAST(f1.y AS INTEGER) AS y, f1.x, feat, CASE WHEN n > 1 THEN u / n1 ELSE v END AS v FROM f1 JOIN n1 USING (y, x)) {S.summary('f')}"
+    )

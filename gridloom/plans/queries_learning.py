@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.pixel import r6
 from gridloom.operators import classify, tilebank
-from gridloom.plans import cascade
+from gridloom.plans import cascade, queries_features
 from gridloom.plans import sql as S
 from gridloom.plans.queries_pixels import unit_lines
 from gridloom.sources import raster
@@ -147,22 +147,22 @@ def gabor(spark, sf_dir):
     return _bank(spark, sf_dir, ("gabor",))
 
 
-@query()
+@query(queries_features.sift_sql())
 def sift(spark, sf_dir):
     return _bank(spark, sf_dir, ("sift",))
 
 
-@query()
+@query(queries_features.hog_compat_sql())
 def hog_compat(spark, sf_dir):
     return _bank(spark, sf_dir, ("hog-compat",))
 
 
-@query()
+@query(queries_features.frangi_bank_sql())
 def frangi_bank(spark, sf_dir):
     return _bank(spark, sf_dir, ("frangi",))
 
 
-@query()
+@query(queries_features.filterbank_sql())
 def filterbank(spark, sf_dir):
     return _bank(spark, sf_dir, ("haar", "hog", "edge", "intensity-stencil-10"))
 
@@ -179,7 +179,7 @@ def fixed_model(levels: int = 1) -> cascade.Model:
     return model
 
 
-@query()
+@query(queries_features.cascade_sql({key: sm.weights for key, sm in fixed_model().submodels.items()}))
 def cascade_test(spark, sf_dir):
     from gridloom import schema
 

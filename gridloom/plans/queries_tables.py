@@ -183,4 +183,11 @@ SQL |= {
     "tile_regions_by_level": f"WITH RECURSIVE {_TILES}, lv AS (SELECT 0 AS level, h, CAST(64 AS BIGINT) AS w FROM hh UNION ALL SELECT level + 1, (h + 1) // 2, (w + 1) // 2 FROM lv WHERE level < 4) "
     "SELECT level, ty, tx, CAST(least(ty * 32 >> level, h) AS INTEGER) AS y0, CAST(least(tx * 16 >> level, w) AS INTEGER) AS x0, CAST(least((ty + 1) * 32 >> level, h) AS INTEGER) AS y1, CAST(least((tx + 1) * 16 >> level, w) AS INTEGER) AS x1 FROM tl CROSS JOIN lv",
     "copy_regions": f"WITH {S.PX}, {_H}, {_WANTED} SELECT px.y, px.x, CASE WHEN wt.ty IS NULL THEN 0.0 ELSE {S.r6('v')} END AS v FROM px LEFT JOIN wt ON wt.ty = px.y // 32 AND wt.tx = px.x // 16",
+    "tiles_for_group": f"WITH RECURSIVE {_H}, s AS (SELECT CAST((h + 31) // 32 AS BIGINT) AS ny FROM hh), nodes AS (SELECT unnest(range(0, 8)) AS n), "
+    "r AS (SELECT a.n AS a, b.n AS b, i, 4 * i // (b.n - a.n) AS x0, 4 * (i + 1) // (b.n - a.n) AS x1, ny * a.n // 7 AS y0, ny * b.n // 7 AS y1, ny FROM nodes a JOIN nodes b ON a.n < b.n, s, (SELECT unnest(range(0, 7)) AS i) WHERE i < b.n - a.n), "
+    "e AS (SELECT a, b, CAST(sum(CASE WHEN (x1 - x0) * (y1 - y0) = 0 THEN 0 ELSE 7 * ((least(x1 + 1, 4) - greatest(x0 - 1, 0)) * (least(y1 + 1, ny) - greatest(y0 - 1, 0)) - (x1 - x0) * (y1 - y0)) END + abs((x1 - x0) * (y1 - y0) * 7 - ny * 4)) AS BIGINT) AS cost FROM r GROUP BY a, b), "
+    "p AS (SELECT CAST(0 AS BIGINT) AS node, CAST([] AS BIGINT[]) AS cuts, CAST(0 AS BIGINT) AS cost UNION ALL SELECT e.b, list_append(p.cuts, e.b), p.cost + e.cost FROM p JOIN e ON e.a = p.node), "
+    "best AS (SELECT list_prepend(0, cuts) AS cuts FROM p WHERE node = 7 ORDER BY cost, cuts LIMIT 1), "
+    "band AS (SELECT cuts[k] AS a, cuts[k + 1] AS b FROM best, (SELECT unnest(range(1, 8)) AS k) WHERE k < len(cuts)) "
+    "SELECT CAST(r.a + r.i + 1 AS INTEGER) AS grp, CAST(tx AS INTEGER) AS tx, CAST(ty AS INTEGER) AS ty FROM band JOIN r USING (a, b) JOIN (SELECT unnest(range(0, 4)) AS tx) ON tx >= x0 AND tx < x1 JOIN (SELECT unnest(range(0, ny)) AS ty FROM s) ON ty >= y0 AND ty < y1",
 }

@@ -1,3 +1,4 @@
+import itertools
 import math
 
 import duckdb
@@ -122,9 +123,14 @@ def test_constant_images_have_finite_features():
 
 
 def test_groups_share_all_tiles():
-    for groups in (2, 3, 5, 8):
+    for groups in (2, 3, 5, 8, 40, 60):
         got = [t for g in range(1, groups + 1) for t in grid.tiles_for_group(g, groups, 500, 300, (64, 64))]
         assert sorted(got) == [(x, y) for x in range(5) for y in range(8)]
+    # no choice of bands costs less than the one that the cuts before each group lead to
+    ny, nx, groups = 9, 7, 8
+    every = [(0, *c, groups) for n in range(groups) for c in itertools.combinations(range(1, groups), n)]
+    least = min(sum(grid.sharing(grid.band(a, b, ny, nx, groups), ny, nx, groups) for a, b in zip(c, c[1:])) for c in every)
+    assert grid.sharing(grid.arrangement(ny, nx, groups), ny, nx, groups) == least
     with pytest.raises(ValueError):
         grid.tile_size(100, 4)
 
