@@ -238,3 +238,21 @@ def test_entry_module_has_every_oracle_query():
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert schema.LEVEL_DTYPES["u8"] == 255.0
+
+
+@pytest.mark.parametrize("accuracy", [100_000, 50])
+def test_percentiles_are_exact_within_sketched_bounds(spark, monkeypatch, accuracy):
+    monkeypatch.setattr(stats, "ACCURACY", accuracy)
+    rng = np.random.default_rng(2)
+    values = {None: rng.normal(size=3000), "a": np.repeat([1.0, 2.0], [1500, 1500]), "b": rng.integers(0, 9, 2000).astype(float), "c": np.array([4.0])}
+    rows = [(k, float(v)) for k, x in values.items() for v in x] + [("a", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(5)
+    qs = [0.0, 0.05, 0.5, 0.731, 1.0]
+    got = {r.k: r[1:] for r in stats.percentiles(df, qs, "k").collect()}
+    assert got.keys() == values.keys()
+    for k, x in values.items():
+        assert np.allclose(got[k], np.quantile(x, qs), rtol=1e-12, atol=1e-12), k
+    flat = stats.percentiles(df, qs)
+    assert np.allclose(flat.first(), np.quantile(np.concatenate([*values.values()]), qs))
+    assert " percentile(" not in flat._jdf.queryExecution().optimizedPlan().toString()
+    assert stats.percentiles(df.filter("false"), qs, "k").count() == 0
