@@ -186,13 +186,14 @@ def reranked(positions: DataFrame, left: str, right: str, rank: str, name: str)
 
 
 def doubled(positions: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """positions: a, b, c, d (ranks of the quarters), n, alone and others, staged. Those that are alone and whose whole strings occur
-    more than once; and the staged tables that this reads. Hot pairs are counted before the shuffle, and joined by what has one
+    """positions: a, b, c, d (ranks of the quarters), n, alone and others, staged, and dropped here. Those that are alone and whose whole
+    strings occur more than once; and the staged tables that this reads. Hot pairs are counted before the shuffle, and joined by what has one
     row for each pair."""
-    first, second = reranked(positions, "a", "b", "r", "repeat-double"), reranked(positions, "c", "d", "s", "repeat-double")
-    halves = positions.join(_base.sized(first), ["a", "b"]).join(_base.sized(second), ["c", "d"]).drop("a", "b", "c", "d")
+    known = positions.filter("a is not null")
+    first, second = reranked(known, "a", "b", "r", "repeat-double"), reranked(known, "c", "d", "s", "repeat-double")
+    halves = known.join(_base.sized(first), ["a", "b"]).join(_base.sized(second), ["c", "d"]).drop("a", "b", "c", "d")
     halves = _base.staged(halves, "repeat-halves")
-    _base.drop(first, second)
+    _base.drop(first, second, positions)
     twice = _base.staged(halves.groupBy("r", "s").agg(F.sum("n").alias("n")).filter("n > 1").select("r", "s"), "repeat-twice")
     return halves.filter("alone").join(_base.sized(twice), ["r", "s"], "left_semi"), [halves, twice]
 
@@ -269,11 +270,13 @@ def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     last = chosen.filter("direct").unionByName(chosen_2).select("k1", "k2", "p0", "p1", "place", "alone")
     last = texts.join(_base.sized(per_text(last, "repeat-last")), ["k1", "k2"]).select("k1", "k2", "text", "at")
     windows = _base.staged(last.mapInArrow(rank_windows, "k1 long, k2 long, p0 int, p1 int, alone boolean, n int, a long, b long, c long, d long"), "repeat-windows")
-    single, used = doubled(windows.filter("a is not null"))
-    out = whole.unionByName(whole_2).unionByName(single.select("k1", "k2", "p0", "p1")).unionByName(windows.filter("a is null").select("k1", "k2", "p0", "p1"))
+    _base.drop(chosen, chosen_2, texts)
+    own = _base.staged(windows.filter("a is null").select("k1", "k2", "p0", "p1"), "repeat-runs")
+    single, used = doubled(windows)
+    out = whole.unionByName(whole_2).unionByName(single.select("k1", "k2", "p0", "p1")).unionByName(own)
     out = out.groupBy("k1", "k2").agg(F.collect_list(F.struct("p0", "p1")).alias("spans"))
     out = _base.staged(out.mapInArrow(join_runs, "k1 long, k2 long, spans array<struct<p0:int,p1:int>>"), "repeat-spans", "spans")
-    _base.drop(whole, chosen, whole_2, chosen_2, texts, windows, *used)
+    _base.drop(whole, whole_2, own, *used)
     return out
 
 
