@@ -129,9 +129,30 @@ def hog_compat(p: np.ndarray, scale: dict) -> np.ndarray:
     return unit_hys(np.concatenate(rows, axis=1))
 
 
+def beyond(p: np.ndarray, halo: int, ty: int, tx: int, tile: int, h: int, w: int) -> tuple[int, int, int, int]:
+    """How many lines and columns of a tile with its halo lie above, left of, below and right of an image of h by w."""
+    y0, x0 = ty * tile, tx * tile
+    return max(0, halo - y0), max(0, halo - x0), max(0, y0 + p.shape[0] - halo - h), max(0, x0 + p.shape[1] - halo - w)
+
+
+def zero_border(p: np.ndarray, out: tuple[int, int, int, int]) -> np.ndarray:
+    """Zeros in place of the mirrored image beyond its border."""
+    top, left, bottom, right = out
+    q = np.zeros_like(p)
+    inner = slice(top, p.shape[0] - bottom), slice(left, p.shape[1] - right)
+    q[inner] = p[inner]
+    return q
+
+
 def edge(p: np.ndarray, scale: dict, compat: bool = False) -> np.ndarray:
+    """compat: the gradient sees zeros beyond the image, and its magnitudes at the border are mirrored."""
     g, d = features.gauss_pair()
+    if compat:
+        p = zero_border(p, scale["beyond"])
     mag = np.hypot(correlate(correlate(p, g, 0), d, 1), correlate(correlate(p, d, 0), g, 1))
+    if compat:
+        top, left, bottom, right = (max(0, n - 3) for n in scale["beyond"])
+        mag = np.pad(mag[top : mag.shape[0] - bottom, left : mag.shape[1] - right], ((top, bottom), (left, right)), mode="symmetric")
     return shifted(mag, features.square(3), 3)
 
 
@@ -207,10 +228,10 @@ def smoothed(p: np.ndarray) -> np.ndarray:
 
 
 def sift(p: np.ndarray, scale: dict, compat: bool = False) -> np.ndarray:
-    im = smoothed(p)
-    if compat:
-        im = u8_steps(im)
+    im = smoothed(zero_border(p, scale["beyond"]) if compat else p)
     top = scale["smooth"]
+    if compat:
+        im, top = u8_steps(im), float(u8_steps(np.array(scale["smooth_zero"])))
     im = im / top if top else im
     s = _bell(5)
     d = np.gradient(s)
@@ -235,7 +256,7 @@ def sift(p: np.ndarray, scale: dict, compat: bool = False) -> np.ndarray:
 #: name: (halo, number of features, whether they are normalized, function)
 FILTERS: dict[str, tuple[int, int, bool, Callable]] = {
     "haar": (8, 2, True, haar), "hog": (9, 36, True, hog), "hog-compat": (7, 36, True, hog_compat), "edge": (6, 49, True, edge), "gabor": (18, 180, True, gabor), "sift": (15, 128, True, sift), "frangi": (33, 14, False, frangi),
-    "haar-compat": (8, 2, True, lambda p, s: haar(p, s, True)), "edge-compat": (6, 49, True, edge), "gabor-compat": (18, 180, True, lambda p, s: gabor(p, s, True)), "sift-compat": (15, 128, True, lambda p, s: sift(p, s, True)),
+    "haar-compat": (8, 2, True, lambda p, s: haar(p, s, True)), "edge-compat": (6, 49, True, lambda p, s: edge(p, s, True)), "gabor-compat": (18, 180, True, lambda p, s: gabor(p, s, True)), "sift-compat": (15, 128, True, lambda p, s: sift(p, s, True)),
 }
 #: The bank that images get unless another is named.
 DEFAULT = ("haar", "hog", "edge", "gabor-compat", "sift-compat", "intensity-stencil-10")
@@ -270,7 +291,7 @@ def normalized(names: tuple[str, ...]) -> np.ndarray:
 
 
 def halo_tiles(lines: DataFrame, halo: int, tile: int, tiles: DataFrame | None = None) -> DataFrame:
-    """image_id, ty, tx, r, px: the lines r of tiles with their halos. Lines of wanted tiles alone, if tiles (ty, tx) are given."""
+    """image_id, ty, tx, h, w, r, px: the lines r of tiles with their halos, and the size of the image. Lines of wanted tiles alone, if tiles (ty, tx) are given."""
     wide = border.pad(lines, halo, "symmetric")
     size = schema.heights(lines).select("image_id", "h", "w")
     out = wide.join(size, "image_id")
@@ -281,11 +302,11 @@ def halo_tiles(lines: DataFrame, halo: int, tile: int, tiles: DataFrame | None =
     if tiles is not None:
         out = out.join(F.broadcast(tiles.select("ty", "tx")), ["ty", "tx"], "left_semi")
     wide_part = F.slice("px", F.col("tx") * tile + 1, F.least(F.lit(tile), F.col("w") - F.col("tx") * tile) + 2 * halo)
-    return out.select("image_id", "ty", "tx", (F.col("y") - F.col("ty") * tile).alias("r"), wide_part.alias("px"))
+    return out.select("image_id", "ty", "tx", "h", "w", (F.col("y") - F.col("ty") * tile).alias("r"), wide_part.alias("px"))
 
 
 def _scales(lines: DataFrame, names: tuple[str, ...], tile: int) -> DataFrame | None:
-    """image_id, smooth, ridges: what sift and frangi need of the whole image."""
+    """image_id, smooth, smooth_zero, ridges: what sift (with a mirrored and with a zero border) and frangi need of the whole image."""
     want = {"smooth": any(n.startswith("sift") for n in names), "ridges": "frangi" in names}
     if not any(want.values()):
         return None
@@ -293,14 +314,14 @@ def _scales(lines: DataFrame, names: tuple[str, ...], tile: int) -> DataFrame |
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         p = np.stack(pdf.sort_values("r")["px"].to_numpy())
-        inner = p[halo - 3 : p.shape[0] - halo + 3, halo - 3 : p.shape[1] - halo + 3]
-        g = _bell(7)
-        smooth = correlate(correlate(inner, g, 0), g, 1).max() if want["smooth"] else 0.0
-        return pd.DataFrame({"image_id": [pdf["image_id"].iloc[0]], "smooth": [float(smooth)], "ridges": [ridge_tops(p) if want["ridges"] else []]})
+        g, first = _bell(7), pdf.iloc[0]
+        zero = zero_border(p, beyond(p, halo, first["ty"], first["tx"], tile, first["h"], first["w"]))
+        tops = [float(correlate(correlate(q[halo - 3 : p.shape[0] - halo + 3, halo - 3 : p.shape[1] - halo + 3], g, 0), g, 1).max()) if want["smooth"] else 0.0 for q in (p, zero)]
+        return pd.DataFrame({"image_id": [first["image_id"]], "smooth": [tops[0]], "smooth_zero": [tops[1]], "ridges": [ridge_tops(p) if want["ridges"] else []]})
 
-    each = halo_tiles(lines, halo, tile).groupBy("image_id", "ty", "tx").applyInPandas(run, "image_id string, smooth double, ridges array<double>")
+    each = halo_tiles(lines, halo, tile).groupBy("image_id", "ty", "tx").applyInPandas(run, "image_id string, smooth double, smooth_zero double, ridges array<double>")
     tops = F.array(*[F.max(F.get("ridges", F.lit(k))) for k in range(14)]) if want["ridges"] else F.lit(None).cast("array<double>")
-    return each.groupBy("image_id").agg(F.max("smooth").alias("smooth"), tops.alias("ridges"))
+    return each.groupBy("image_id").agg(F.max("smooth").alias("smooth"), F.max("smooth_zero").alias("smooth_zero"), tops.alias("ridges"))
 
 
 def bank(lines: DataFrame, names: tuple[str, ...], tile: int = 64, scope: str = "image", tiles: DataFrame | None = None) -> DataFrame:
@@ -317,14 +338,17 @@ def bank(lines: DataFrame, names: tuple[str, ...], tile: int = 64, scope: str =
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("r")
         p = np.stack(pdf["px"].to_numpy())
-        scale = {"smooth": float(pdf["smooth"].iloc[0]), "ridges": pdf["ridges"].iloc[0]} if whole else {}
+        first = pdf.iloc[0]
+        ty, tx = int(first["ty"]), int(first["tx"])
+        out = beyond(p, halo, ty, tx, tile, int(first["h"]), int(first["w"]))
+        scale = {"smooth": float(first["smooth"]), "smooth_zero": float(first["smooth_zero"]), "ridges": first["ridges"]} if whole else {}
         inside = lambda r: p[halo - r : p.shape[0] - halo + r, halo - r : p.shape[1] - halo + r]
         if scope == "tile":
-            scale = {"smooth": float(smoothed(inside(min(halo, 15))).max()), "ridges": ridge_tops(p) if halo >= 33 else []}
+            zero = zero_border(p, out)[halo - min(halo, 15) : p.shape[0] - halo + min(halo, 15), halo - min(halo, 15) : p.shape[1] - halo + min(halo, 15)]
+            scale = {"smooth": float(smoothed(inside(min(halo, 15))).max()), "smooth_zero": float(smoothed(zero).max()), "ridges": ridge_tops(p) if halo >= 33 else []}
         h, w = p.shape[0] - 2 * halo, p.shape[1] - 2 * halo
-        xs = np.concatenate([f(inside(r), scale) for r, _, _, f in parts]).reshape(-1, h * w).T
+        xs = np.concatenate([f(inside(r), scale | {"beyond": tuple(max(0, n - halo + r) for n in out)}) for r, _, _, f in parts]).reshape(-1, h * w).T
         y, x = np.divmod(np.arange(h * w), w)
-        ty, tx = int(pdf["ty"].iloc[0]), int(pdf["tx"].iloc[0])
         return pd.DataFrame({"image_id": pdf["image_id"].iloc[0], "y": (y + ty * tile).astype(np.int32), "x": (x + tx * tile).astype(np.int32), "xs": list(xs)})
 
     return cut.groupBy("image_id", "ty", "tx").applyInPandas(run, "image_id string, y int, x int, xs array<double>")

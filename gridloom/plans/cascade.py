@@ -5,9 +5,11 @@ lets a lost executor's work be read again."""
 
 from __future__ import annotations
 
+import json
+import re
 import tempfile
 import uuid
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 from functools import reduce
 
 import numpy as np
@@ -19,10 +21,13 @@ from gridloom.operators import classify, resample, sampling, stats, tilebank
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Written to the session's checkpoint folder and read again; a local folder only where the session names none."""
+    """Written to the session's checkpoint folder and read again; one of this machine only where the session names none and nothing
+    runs elsewhere."""
     spark = df.sparkSession
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="gridloom-")
         spark.conf.set("spark.checkpoint.dir", at)
     path = f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -129,7 +134,7 @@ class Model:
         """Takes over learned submodels up to the first that does not fit; with another number of levels the first stage alone."""
         for s, k in self.order():
             mine, theirs = self.submodels[s, k], old.submodels.get((s, k))
-            same = theirs is not None and theirs.learned and (theirs.filters, theirs.context_filters, theirs.method) == (mine.filters, mine.context_filters, mine.method)
+            same = theirs is not None and theirs.learned and (theirs.filters, theirs.context_filters, theirs.method, theirs.params) == (mine.filters, mine.context_filters, mine.method, mine.params)
             if not same or (self.levels != old.levels and s > 1):
                 break
             self.submodels[s, k] = theirs
@@ -139,7 +144,7 @@ class Model:
         rows = []
         for (s, k), m in sorted(self.submodels.items()):
             shape = list(m.weights.shape) if m.learned else None
-            rows.append((s, k, self.stages, self.levels, list(m.filters), list(m.context_filters), m.method, repr(m.params), shape, m.weights.ravel().tolist() if m.learned else None, m.off.tolist() if m.learned else None, m.scale.tolist() if m.learned else None))
+            rows.append((s, k, self.stages, self.levels, list(m.filters), list(m.context_filters), m.method, json.dumps(asdict(m.params)), shape, m.weights.ravel().tolist() if m.learned else None, m.off.tolist() if m.learned else None, m.scale.tolist() if m.learned else None))
         return spark.createDataFrame(rows, "stage int, level int, stages int, levels int, filters array<string>, context_filters array<string>, method string, params string, shape array<int>, weights array<double>, off array<double>, scale array<double>")
 
     def save(self, spark: SparkSession, path: str) -> None:
@@ -150,10 +155,7 @@ class Model:
         rows = spark.read.parquet(path).collect()
         model = cls(rows[0]["stages"], rows[0]["levels"])
         for r in rows:
-            fields = r["params"].removeprefix("Params(").removesuffix(")").split(", ")
-            kinds = {"True": True, "False": False}
-            p = classify.Params(**{k: kinds.get(v, float(v) if "." in v or "e" in v and v not in kinds else v) for k, v in (f.split("=") for f in fields)})
-            p = classify.Params(**{k: (int(v) if isinstance(v, str) else v) for k, v in p.__dict__.items()})
+            p = classify.Params(**json.loads(r["params"]))
             m = SubModel(r["stage"], r["level"], tuple(r["filters"]), tuple(r["context_filters"]), r["method"], p)
             if r["weights"]:
                 m.weights, m.off, m.scale = np.array(r["weights"]).reshape(r["shape"]), np.array(r["off"]), np.array(r["scale"])

@@ -118,7 +118,7 @@ def test_gabor_of_an_impulse(spark):
 
 def test_constant_images_have_finite_features():
     for name, (halo, n, _, f) in tilebank.FILTERS.items():
-        out = f(np.zeros((4 + 2 * halo, 3 + 2 * halo)), {"smooth": 0.0, "ridges": [0.0] * 14})
+        out = f(np.zeros((4 + 2 * halo, 3 + 2 * halo)), {"smooth": 0.0, "smooth_zero": 0.0, "ridges": [0.0] * 14, "beyond": (halo,) * 4})
         assert out.shape == (n, 4, 3) and np.isfinite(out).all(), name
 
 
@@ -256,3 +256,61 @@ def test_percentiles_are_exact_within_sketched_bounds(spark, monkeypatch, accura
     assert np.allclose(flat.first(), np.quantile(np.concatenate([*values.values()]), qs))
     assert " percentile(" not in flat._jdf.queryExecution().optimizedPlan().toString()
     assert stats.percentiles(df.filter("false"), qs, "k").count() == 0
+
+
+def test_compat_borders_are_zero(spark):
+    """In tiles as over the whole image: gradients meet zeros beyond the border, and their magnitudes are mirrored there."""
+    rng = np.random.default_rng(9)
+    im = rng.random((21, 37))
+    lines = spark.createDataFrame([("a", y, row.tolist()) for y, row in enumerate(im)], "image_id string, y int, px array<double>")
+
+    def features_of(name, tile):
+        rows = tilebank.bank(lines, (name,), tile).collect()
+        out = np.zeros((21, 37, len(rows[0].xs)))
+        for r in rows:
+            out[r.y, r.x] = r.xs
+        return out
+
+    g, d = tilebank.features.gauss_pair()
+    wide = np.pad(im, 3)
+    mag = np.hypot(*(tilebank.correlate(tilebank.correlate(wide, a, 0), b, 1) for a, b in ((g, d), (d, g))))
+    want = np.moveaxis(tilebank.shifted(np.pad(mag, 3, mode="symmetric"), tilebank.features.square(3), 3), 0, -1)
+    for tile in (8, 64):
+        assert np.allclose(features_of("edge-compat", tile), want)
+    assert not np.allclose(features_of("edge", 64), want)
+    # over zeros all around, a mirrored and a zero border are the same
+    small, whole = np.zeros((40, 40)), np.zeros((70, 70))
+    small[17:23, 17:23] = im[:6, :6]
+    whole[15:-15, 15:-15] = small
+    top = float(tilebank.smoothed(whole).max())
+    got = tilebank.sift(whole, {"smooth": top, "smooth_zero": top, "beyond": (15, 15, 15, 15)}, True)
+    assert np.allclose(got, tilebank.sift(whole, {"smooth": top, "smooth_zero": top, "beyond": (0, 0, 0, 0)}, True))
+    assert np.allclose(features_of("sift-compat", 8), features_of("sift-compat", 64))
+
+
+def test_changed_settings_are_learned_anew(spark, tmp_path):
+    old = cascade.Model.create(2, 1, ("haar",), params=classify.Params(groups=2, rate=1e-05, dropout=True))
+    for key in old.order():
+        sm = old[key]
+        n = sm.features(1)
+        sm.weights, sm.off, sm.scale = np.ones((2, 20, n + 1)), np.zeros(n), np.ones(n)
+    old.save(spark, f"{tmp_path}/model")
+    again = cascade.Model.load(spark, f"{tmp_path}/model")
+    assert {k: m.params for k, m in again.submodels.items()} == {k: m.params for k, m in old.submodels.items()}
+    same = cascade.Model.create(2, 1, ("haar",), params=classify.Params(groups=2, rate=1e-05, dropout=True)).restarted(again)
+    assert all(m.learned for m in same.submodels.values())
+    other = cascade.Model.create(2, 1, ("haar",), params=classify.Params(groups=2, rate=1e-04, dropout=True)).restarted(again)
+    assert not any(m.learned for m in other.submodels.values())
+
+
+def test_descent_with_dropout_and_single_samples_learns(spark):
+    """The forms that levels above 0 use: half of the groups and nodes a step, one sample a step."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 2))
+    rows = spark.createDataFrame([(i, v.tolist(), bool(v[0] * v[1] > 0)) for i, v in enumerate(x)], "sample long, xs array<double>, label boolean")
+    for p in (classify.Params(4, 4, True, 1, 8, 0.025), classify.Params(4, 4, False, 1, 8, 0.025), classify.Params(4, 4, False, 100, 30, 0.02)):
+        weights, errors = classify.train(rows, p, 2)
+        assert errors[-1] < errors[0], p
+        w = classify.weights_array(weights)
+        f = classify.np_forward(w, np.column_stack([x, np.ones(len(x))]), p.dropout)[2]
+        assert ((f > 0.5) == (x[:, 0] * x[:, 1] > 0)).mean() > 0.8, p
