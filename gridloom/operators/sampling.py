@@ -21,12 +21,16 @@ def random_subset(df: DataFrame, n: int, seed: int, *keys: str) -> DataFrame:
 
 def per_class(df: DataFrame, most: int, seed: int, label: str, *keys: str) -> DataFrame:
     """At most so many rows of each class. A first cut by the hash's leading digits keeps classes that are far too large from
-    being sorted: it holds the rows that a class needs with a wide margin, and a class that it leaves short is not cut."""
+    being sorted: it holds the rows that a class needs with a wide margin. If repeated keys leave a class short, none is cut."""
     h = order_of(seed, *keys)
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     share = F.least(F.lit(1.0), (4.0 * most + 1000) / F.col("_n"))
     lead = F.conv(F.substring(h, 1, 8), 16, 10).cast("double") / float(1 << 32)
-    near = df.join(F.broadcast(counts), label).filter(lead < share)
+    every = df.join(F.broadcast(counts), label)
+    near = every.filter(lead < share)
+    held = {r[label]: r["n"] for r in near.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}  # one row for each class
+    if any(held.get(r[label], 0) < min(most, r["_n"]) for r in counts.filter(F.col(label).isNotNull()).collect()):
+        near = every
     rank = F.row_number().over(Window.partitionBy(label).orderBy(h, *keys))
     return near.withColumn("_rank", rank).filter(F.col("_rank") <= most).drop("_rank", "_n")
 

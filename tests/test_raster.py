@@ -314,3 +314,9 @@ def test_descent_with_dropout_and_single_samples_learns(spark):
         w = classify.weights_array(weights)
         f = classify.np_forward(w, np.column_stack([x, np.ones(len(x))]), p.dropout)[2]
         assert ((f > 0.5) == (x[:, 0] * x[:, 1] > 0)).mean() > 0.8, p
+
+
+def test_classes_of_repeated_keys_keep_their_rows(spark):
+    df = spark.range(9000).select(F.when(F.col("id") < 6000, 1).otherwise(F.col("id")).alias("k"), (F.col("id") < 6000).alias("label"))
+    got = {r.label: r["count"] for r in sampling.per_class(df, 20, 1, "label", "k").groupBy("label").count().collect()}
+    assert got == {True: 20, False: 20}
