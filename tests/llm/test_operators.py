@@ -477,3 +477,59 @@ def test_near_copies_with_null_or_equal_ids_leave_one_row(spark):
     got = [tuple(r) for r in near.deduplicate(df).collect()]
     assert len(got) == 4 and sum(t in copies for _, t in got) == 1 and sum(t.startswith(other) for _, t in got) == 1
 
+
+def test_differencing_as_a_plain_version():
+    """Partitions as lists of parts; the two of the largest spread are combined, the largest part of one with the smallest of the other."""
+    rng = random.Random(11)
+    for n, k in ((1, 3), (9, 3), (60, 5), (200, 24)):
+        sizes = [rng.randrange(1, 10**9) for _ in range(n)]
+        parts = [[[s]] + [[] for _ in range(k - 1)] for s in sizes]
+        while len(parts) > 1:
+            parts.sort(key=lambda p: sum(p[0]) - sum(p[-1]))
+            a, b = parts.pop(), parts.pop()
+            parts.append(sorted((x + y for x, y in zip(a, b[::-1])), key=sum, reverse=True))
+        sums = np.zeros((n, k), np.int64)
+        sums[:, 0] = sizes
+        goes, final = sharding.difference(sums)
+        assert sorted(final.tolist()) == sorted(map(sum, parts[0]))
+        got = [sorted(s for s, g in zip(sizes, goes[:, 0]) if g == j) for j in range(k)]
+        assert sorted(got) == sorted(map(sorted, parts[0]))
+
+
+def test_recurrent_network_as_a_plain_version():
+    """Each window by itself, step by step, in both directions, and its attention."""
+    rng = np.random.default_rng(2)
+    net = toxicity.Network(0.3, 5)
+    net.words[:] = rng.normal(0, 0.5, net.words.shape)
+    text = " ".join(f"w{i % 37}" for i in range(75)).encode()
+    b = toxicity.batch_of(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    x, _ = net.inputs(b)
+    h, one = toxicity.HIDDEN, lambda v: 1 / (1 + np.exp(-v))
+    want = []
+    for window in b.windows:
+        words = [w for w in window if w >= 0]
+        both = []
+        for back, u in ((0, net.uf), (1, net.ub)):
+            state, states = np.zeros(h), []
+            for w in words[::-1] if back else words:
+                a = (x[w] @ net.wx + net.bx)[3 * h * back : 3 * h * (back + 1)]
+                r = state @ u
+                z, reset = one(a[:h] + r[:h]), one(a[h : 2 * h] + r[h : 2 * h])
+                state = (1 - z) * np.tanh(a[2 * h :] + reset * r[2 * h :]) + z * state
+                states.append(state)
+            both.append(states[::-1] if back else states)
+        states = np.concatenate([np.array(s) for s in both], axis=1)
+        a = np.exp(states @ net.att)
+        want.append((a / a.sum()) @ states @ net.out + net.bias[0])
+    assert np.allclose(net.logits(b), want, atol=1e-4) and math.isclose(net.text_logits(b)[0], max(want), abs_tol=1e-4)
+    assert len(want) == 1 + -(-(75 - toxicity.WINDOW) // toxicity.STRIDE)
+
+
+def test_training_rows_are_bounded(spark):
+    df = spark.createDataFrame([(i % 40, f"text {i} " * 3) for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    rows = labelled.training_rows(df, labels, "quality").collect()
+    kept = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5]
+    assert sorted(rows) == sorted((min(f"text {j} " * 3 for j in range(i, 400, 40)), i % 2) for i in kept)
+    assert labelled.training_rows(df, labels, "quality", 7).count() == 7
+    assert 0 < labelled.training_rows(df, labels, "quality", 40, 100).count() < 9
