@@ -111,7 +111,7 @@ def kmeans_ml(samples: DataFrame, k: int, n: int, seed: int = 1, most: int = 100
         raise ValueError(f"{count} samples are too few for {k} clusters")
     third = (count + coarse // 2) // coarse
     if third < least or third < k:
-        rows = sampling.random_subset(samples, k, seed, "sample").collect()
+        rows = sampling.shuffled(samples, seed, "sample").limit(k).collect()
         centres = samples.sparkSession.createDataFrame([(j, r["xs"]) for j, r in enumerate(rows)], "j int, c array<double>")
     else:
         centres, _ = kmeans_ml(sampling.random_subset(samples, third, seed, "sample").persist(), k, n, seed + 1, most, coarse, least)

@@ -14,9 +14,27 @@ def shuffled(df: DataFrame, seed: int, *keys: str) -> DataFrame:
     return df.orderBy(order_of(seed, *keys), *keys)
 
 
+def _led(df: DataFrame, seed: int, *keys: str) -> tuple[DataFrame, DataFrame]:
+    """Rows with the leading digits of their hash, and of each of these (65,536 at most) the number of rows and of those up to it."""
+    rows = df.withColumn("_lead", F.substring(order_of(seed, *keys), 1, 4))
+    counts = rows.groupBy("_lead").agg(F.count(F.lit(1)).alias("_n"))
+    return rows, counts.withColumn("_upto", F.sum("_n").over(Window.orderBy("_lead").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+
+
+def places(df: DataFrame, seed: int, *keys: str) -> DataFrame:
+    """Rows with their place, from 1, in the shuffled order; a task ranks the rows of some leading digits."""
+    rows, counts = _led(df, seed, *keys)
+    rank = F.row_number().over(Window.partitionBy("_lead").orderBy(order_of(seed, *keys), *keys))
+    return rows.join(F.broadcast(counts), "_lead").withColumn("place", rank + F.col("_upto") - F.col("_n")).drop("_lead", "_n", "_upto")
+
+
 def random_subset(df: DataFrame, n: int, seed: int, *keys: str) -> DataFrame:
-    """n rows, without replacement."""
-    return shuffled(df, seed, *keys).limit(n)
+    """n rows, without replacement: the first by hash. Only rows that share the last one's leading digits are ranked."""
+    rows, counts = _led(df, seed, *keys)
+    near = rows.join(F.broadcast(counts.filter(F.col("_upto") - F.col("_n") < n)), "_lead")
+    last = near.filter(F.col("_upto") > n).withColumn("_rank", F.row_number().over(Window.partitionBy("_lead").orderBy(order_of(seed, *keys), *keys)))
+    last = last.filter(F.col("_rank") <= n - F.col("_upto") + F.col("_n")).drop("_rank")
+    return near.filter(F.col("_upto") <= n).unionByName(last).drop("_lead", "_n", "_upto")
 
 
 def per_class(df: DataFrame, most: int, seed: int, label: str, *keys: str) -> DataFrame:

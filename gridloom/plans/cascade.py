@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom import schema
-from gridloom.operators import classify, resample, sampling, stats, tilebank
+from gridloom.operators import border, classify, grid, resample, sampling, stats, tilebank
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -221,6 +221,43 @@ def test(im: DataFrame, model: Model, tile: int = 64) -> DataFrame:
     return out
 
 
+def reach(model: Model) -> int:
+    """How far from a pixel of the result whatever it is made of lies at most: each submodel reads its halo and the taps of halving."""
+    halo = lambda sm: max(tilebank.filter_of(n)[0] for n in (*sm.filters, *sm.context_filters))
+    return sum((halo(model[s, k]) + 8) << k for s, k in model.order())
+
+
+def test_tiles(im: DataFrame, model: Model, wanted: list[tuple[int, int]], size: int | tuple[int, int] | None = None, ignore_bad: bool = False, tile: int = 64) -> DataFrame:
+    """Probabilities of wanted tiles (x, y) of each image, zero elsewhere. Only the lines and columns that these tiles depend on are
+    read and worked on, unless a filter needs the largest value of the whole image. Tiles that no image has are an error or ignored."""
+    spark, (w, h) = im.sparkSession, grid.tile_size(size, model.levels)
+    most = schema.heights(im).agg(F.max("h").alias("h"), F.max("w").alias("w")).first()
+    if most["h"] is None:
+        return im
+    tiles = grid.tiles(spark, most["h"], most["w"], (w, h), wanted, ignore_bad)
+    got = [(r["tx"], r["ty"]) for r in tiles.collect()]  # some of wanted
+    names = {n for sm in model.submodels.values() for n in (*sm.filters, *sm.context_filters)}
+    whole = any(n.startswith("sift") or n == "frangi" for n in names)
+    top, left, bottom, right = (0, 0, most["h"], most["w"]) if whole else grid.bounding_region(got, (w, h), most["h"], most["w"], [reach(model)]) if got else (0, 0, 0, 0)
+    part = border.region(im, top, left, bottom, right).filter(F.size("px") > 0)
+    columns = tiles.groupBy("ty").agg(F.collect_list("tx").alias("txs"))
+    lines = im.select("image_id", "y", F.size("px").alias("w"), F.floor(F.col("y") / h).cast("int").alias("ty")).join(F.broadcast(columns), "ty", "left")
+    if got:
+        out = test(part, model, tile).select("image_id", (F.col("y") + top).alias("y"), "px")
+        lines = lines.join(out, ["image_id", "y"], "left")
+    else:
+        lines = lines.withColumn("px", F.lit(None).cast("array<double>"))
+    at = lambda x: F.when(F.array_contains("txs", F.floor(x / w).cast("int")), F.get("px", x - left))
+    line = F.transform(F.sequence(F.lit(0), F.col("w") - 1), lambda x: F.coalesce(at(x), F.lit(0.0)))
+    return lines.select("image_id", "y", F.when(F.col("w") > 0, line).otherwise(F.array().cast("array<double>")).alias("px"))
+
+
+def test_untiled(im: DataFrame, model: Model) -> DataFrame:
+    """The same as test, each image as one tile: a task holds a whole image."""
+    size = schema.heights(im).agg(F.max(F.greatest("h", "w"))).first()[0]
+    return test(im, model, size or 1)
+
+
 def train(im: DataFrame, labels: DataFrame, model: Model, samples: int | None = 3_000_000, masks: DataFrame | None = None, tile: int = 64, path: str | None = None, seed: int = 1) -> tuple[Model, DataFrame, list[dict]]:
     """Learns submodel after submodel; labels and masks are lines of truth values as 0 and 1. A submodel that is learned already is
     only evaluated. After each, the model is saved if it has a path. Returns the model, the last outputs, and each level's metrics."""

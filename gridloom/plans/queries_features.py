@@ -303,6 +303,16 @@ def _network_sql(name: str, images: list[tuple[str, int, bool]], contexts: list[
     return ", ".join(parts)
 
 
+def edge_compat_sql() -> str:
+    """Edges whose gradients see zeros beyond the image: sums over the pixels that there are."""
+    g, d = features.gauss_pair()
+    zero = lambda src, to, taps, which: S.axis(src, to, S.values(taps), "r.r + k.n - 3", "m", which)
+    parts = [S.UNIT, zero("ux", "ga", g, "y"), zero("ga", "gd", d, "x"), zero("ux", "da", d, "y"), zero("da", "dg", g, "x")]
+    parts.append("mag AS MATERIALIZED (SELECT a.y, a.x, sqrt(a.v * a.v + b.v * b.v) AS v FROM gd a JOIN dg b USING (y, x))")
+    parts.append(_shift_sql("mag", [(dx, dy) for dx, dy in features.square(3)]))
+    return f"WITH {', '.join(parts)} {S.summary('f')}"
+
+
 def cascade_sql(weights: dict) -> str:
     """Two stages and one level by whole images: the features of the image and of its half, and what each stage makes of them."""
     parts = [S.UNIT, S.halve("ux", "hx0"), "half AS MATERIALIZED (SELECT y, x, v FROM hx0)"]

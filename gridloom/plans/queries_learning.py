@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom import schema
 from gridloom.functions.pixel import r6
 from gridloom.operators import classify, tilebank
 from gridloom.plans import cascade, queries_features
@@ -167,6 +168,11 @@ def filterbank(spark, sf_dir):
     return _bank(spark, sf_dir, ("haar", "hog", "edge", "intensity-stencil-10"))
 
 
+@query(queries_features.edge_compat_sql())
+def edge_compat(spark, sf_dir):
+    return _bank(spark, sf_dir, ("edge-compat",))
+
+
 def fixed_model(levels: int = 1) -> cascade.Model:
     """A small cascade with weights from a fixed seed, for queries of inference alone."""
     params = classify.Params(groups=2, nodes=3)
@@ -179,14 +185,49 @@ def fixed_model(levels: int = 1) -> cascade.Model:
     return model
 
 
-@query(queries_features.cascade_sql({key: sm.weights for key, sm in fixed_model().submodels.items()}))
-def cascade_test(spark, sf_dir):
-    from gridloom import schema
+_CASCADE = queries_features.cascade_sql({key: sm.weights for key, sm in fixed_model().submodels.items()})
 
-    out = cascade.test(unit_lines(spark, sf_dir), fixed_model())
+
+def _probabilities(out: DataFrame) -> DataFrame:
     return schema.to_pixels(out).select("y", "x", r6(F.col("v")).alias("v"))
 
 
+@query(_CASCADE)
+def cascade_test(spark, sf_dir):
+    return _probabilities(cascade.test(unit_lines(spark, sf_dir), fixed_model()))
+
+
+@query(_CASCADE)
+def cascade_test_untiled(spark, sf_dir):
+    return _probabilities(cascade.test_untiled(unit_lines(spark, sf_dir), fixed_model()))
+
+
+_WANTED = [(1, 1), (3, 2), (0, 2), (1, 1), (9, 99)]
+
+
+@query(f"SELECT y, x, CASE WHEN (x // 16, y // 32) IN ((1, 1), (3, 2), (0, 2)) THEN v ELSE 0.0 END AS v FROM ({_CASCADE}) AS whole")
+def cascade_test_tiles(spark, sf_dir):
+    """Inference on three tiles alone; one that is wanted twice and one that does not exist change nothing."""
+    return _probabilities(cascade.test_tiles(unit_lines(spark, sf_dir), fixed_model(), _WANTED, (16, 32), ignore_bad=True))
+
+
+@query(
+    "WITH m AS (SELECT * FROM (VALUES (2, 1), (2, 3), (3, 2), (4, 1)) AS m(stages, levels)), s AS (SELECT *, unnest(range(1, stages + 1)) AS stage FROM m), "
+    "o AS (SELECT *, unnest(range(0, CASE WHEN stage < stages THEN levels + 1 ELSE 1 END)) AS level FROM s), c AS (SELECT *, CASE WHEN stage = 1 OR level > 0 THEN level ELSE levels + 1 END AS contexts FROM o) "
+    "SELECT stages, levels, CAST(row_number() OVER (PARTITION BY stages, levels ORDER BY stage, level) AS INTEGER) AS place, CAST(stage AS INTEGER) AS stage, CAST(level AS INTEGER) AS level, "
+    "CAST(contexts AS INTEGER) AS contexts, CAST(2 + 36 + 9 * contexts AS INTEGER) AS features, CAST(2 + 36 AS INTEGER) AS normalized FROM c"
+)
+def model_order(spark, sf_dir):
+    """The submodels of models in the order that they are learned in, and what comes into each."""
+    rows = []
+    for stages, levels in ((2, 1), (2, 3), (3, 2), (4, 1)):
+        model = cascade.Model.create(stages, levels, ("haar", "hog"), ("intensity-square-1",))
+        for place, key in enumerate(model.order(), 1):
+            sm = model[key]
+            rows.append((stages, levels, place, *key, sm.contexts(levels), sm.features(levels), int(sm.normalized(levels).sum())))
+    return spark.createDataFrame(rows, "stages int, levels int, place int, stage int, level int, contexts int, features int, normalized int")
+
+
 @query()
 def cascade_train(spark, sf_dir):
     """Learns to find bright pixels of the whole image, from all pixels, and returns the metrics of each level."""

@@ -74,13 +74,18 @@ NORM = {
 }
 
 
+def _vector_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = raster.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("y"), F.posexplode("embedding").alias("feat", "v"))
+    return rows.withColumn("v", F.col("v").cast("double"))
+
+
 def _add_norms() -> None:
     cte = FEAT.replace("AS feat,", "AS feat, vec_id AS y,")
     for method, (params, value) in NORM.items():
         name = "norm_" + method.replace("-", "")
 
         def run(spark: SparkSession, sf_dir: str, method: str = method) -> DataFrame:
-            rows = raster.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("y"), F.posexplode("embedding").alias("feat", "v")).withColumn("v", F.col("v").cast("double"))
+            rows = _vector_values(spark, sf_dir)
             out = stats.normalize(rows, F.broadcast(stats.fit(rows, method, "feat")), method, "feat")
             return out.select("y", "feat", r6(F.col("v")).alias("v"))
 
@@ -191,3 +196,80 @@ SQL |= {
     "band AS (SELECT cuts[k] AS a, cuts[k + 1] AS b FROM best, (SELECT unnest(range(1, 8)) AS k) WHERE k < len(cuts)) "
     "SELECT CAST(r.a + r.i + 1 AS INTEGER) AS grp, CAST(tx AS INTEGER) AS tx, CAST(ty AS INTEGER) AS ty FROM band JOIN r USING (a, b) JOIN (SELECT unnest(range(0, 4)) AS tx) ON tx >= x0 AND tx < x1 JOIN (SELECT unnest(range(0, ny)) AS ty FROM s) ON ty >= y0 AND ty < y1",
 }
+
+
+def norm_none(spark, sf_dir):
+    rows = _vector_values(spark, sf_dir)
+    out = stats.normalize(rows, F.broadcast(stats.fit(rows, "none", "feat")), "none", "feat")
+    return out.select("y", "feat", r6(F.col("v")).alias("v"))
+
+
+def norm_selected(spark, sf_dir):
+    """Of the features only the even ones take part."""
+    rows = _vector_values(spark, sf_dir)
+    out = stats.normalize(rows, F.broadcast(stats.fit(rows, "mean-std", "feat")), "mean-std", "feat", only=F.col("feat") % 2 == 0)
+    return out.select("y", "feat", r6(F.col("v")).alias("v"))
+
+
+def mean_std_of_samples(spark, sf_dir):
+    return _rounded(stats.mean_std(event_values(spark, sf_dir), "feat", ddof=1))
+
+
+def random_subset(spark, sf_dir):
+    return sampling.random_subset(raster.table(spark, sf_dir, "embeddings").select("vec_id", "label"), 150, 3, "vec_id")
+
+
+def shuffled_places(spark, sf_dir):
+    return sampling.places(raster.table(spark, sf_dir, "embeddings").select("vec_id", "label"), 3, "vec_id")
+
+
+def tile_sizes(spark, sf_dir):
+    """Which sizes of tiles each number of levels allows."""
+    rows = []
+    for levels in range(5):
+        for size in (None, 100, 64, 0, -8, (48, 96), (96, 50)):
+            w, h = (512, 512) if size is None else (size, size) if isinstance(size, int) else size
+            try:
+                ok = grid.tile_size(size, levels) == (w, h)
+            except ValueError:
+                ok = False
+            rows.append((levels, w, h, ok))
+    return spark.createDataFrame(rows, "levels int, w int, h int, ok boolean")
+
+
+_BOXES = (((1, 1),), ((0, 0), (2, 5)), ((3, 9), (3, 10)))
+
+
+def bounding_regions(spark, sf_dir):
+    """What has to be read for wanted tiles, with halos of 10, 8 and 4 pixels at three levels."""
+    h = _height(spark, sf_dir)
+    rows = [(i, *grid.bounding_region(list(b), (16, 32), h, 64, [10, 8, 4])) for i, b in enumerate(_BOXES)]
+    return spark.createDataFrame(rows, "box int, y0 int, x0 int, y1 int, x1 int")
+
+
+def all_tiles(spark, sf_dir):
+    h = _height(spark, sf_dir)
+    ny = -(-h // 32)
+    rows = [("some", grid.all_tiles(_wanted(spark, sf_dir), ny, 4)), ("every", grid.all_tiles(grid.tiles(spark, h, 64, (16, 32)), ny, 4))]
+    return spark.createDataFrame(rows, "wanted string, complete boolean")
+
+
+for _f in (norm_none, norm_selected, mean_std_of_samples, random_subset, shuffled_places, tile_sizes, bounding_regions, all_tiles):
+    QUERIES[_f.__name__] = _f
+
+_VALUES = FEAT.replace("AS feat,", "AS feat, vec_id AS y,")
+_SHUFFLE = "row_number() OVER (ORDER BY md5('3:' || vec_id), vec_id)"
+_HALO = 40  # the widest of (10 + 6), (8 + 6) * 2 and (4 + 6) * 4
+SQL |= {
+    "norm_none": f"WITH {_VALUES} SELECT y, feat, {S.r6('v')} AS v FROM f",
+    "norm_selected": f"WITH {_VALUES}, p AS (SELECT feat, avg(v) AS m, 5 * stddev_pop(v) AS s FROM f GROUP BY feat) SELECT y, feat, {S.r6('CASE WHEN feat % 2 = 0 THEN (v - m) / s + 0.5 ELSE v END')} AS v FROM f JOIN p USING (feat)",
+    "mean_std_of_samples": f"WITH {EVENTS} SELECT feat, {S.r6('avg(v)')} AS mean, {S.r6('stddev_samp(v)')} AS std FROM f GROUP BY feat",
+    "random_subset": f"SELECT vec_id, label FROM (SELECT vec_id, label, {_SHUFFLE} AS r FROM embeddings) WHERE r <= 150",
+    "shuffled_places": f"SELECT vec_id, label, CAST({_SHUFFLE} AS BIGINT) AS place FROM embeddings",
+    "tile_sizes": "SELECT CAST(levels AS INTEGER) AS levels, w, h, w > 0 AND h > 0 AND w % CAST(pow(2, levels) AS INTEGER) = 0 AND h % CAST(pow(2, levels) AS INTEGER) = 0 AS ok "
+    "FROM (SELECT unnest(range(0, 5)) AS levels), (VALUES (512, 512), (100, 100), (64, 64), (0, 0), (-8, -8), (48, 96), (96, 50)) AS s(w, h)",
+    "bounding_regions": f"WITH {_H}, b AS (SELECT box, min(x) AS xa, max(x) AS xb, min(y) AS ya, max(y) AS yb FROM (VALUES (0, 1, 1), (1, 0, 0), (1, 2, 5), (2, 3, 9), (2, 3, 10)) AS t(box, x, y) GROUP BY box) "
+    f"SELECT box, CAST(greatest(0, floor((ya * 32 - {_HALO}) / 32.0) * 32) AS INTEGER) AS y0, CAST(greatest(0, floor((xa * 16 - {_HALO}) / 16.0) * 16) AS INTEGER) AS x0, "
+    f"CAST(least(h, ceil(((yb + 1) * 32 + {_HALO}) / 32.0) * 32) AS INTEGER) AS y1, CAST(least(64, ceil(((xb + 1) * 16 + {_HALO}) / 16.0) * 16) AS INTEGER) AS x1 FROM b, hh",
+    "all_tiles": f"WITH {_TILES}, {_WANTED} SELECT 'some' AS wanted, (SELECT count(*) FROM wt) = (SELECT count(*) FROM tl) AS complete UNION ALL SELECT 'every', true",
+}

@@ -27,7 +27,7 @@ def oracle():
     return con
 
 
-@pytest.mark.parametrize("name", ["downsample_bicubic", "pad_reflect", "maxpool_l3", "imresize_lanczos3", "haar", "norm_medianmad", "confusion_matrix", "padding_tiles", "ldnn_evaluate", "otsu_threshold", "subsample_per_class"])
+@pytest.mark.parametrize("name", ["downsample_bicubic", "pad_reflect", "maxpool_l3", "imresize_lanczos3", "haar", "norm_medianmad", "confusion_matrix", "padding_tiles", "ldnn_evaluate", "otsu_threshold", "subsample_per_class", "random_subset", "shuffled_places", "imresize_own_kernel", "haloed_region", "bounding_regions", "edge_compat", "model_order"])
 def test_query_agrees_with_sql(spark, oracle, name):
     got = registry.queries()[name](spark, SF)
     cols = sorted(got.columns)
@@ -208,6 +208,35 @@ def test_three_stages_train_and_test_on_an_odd_image(spark):
     assert again.shape == a.shape and np.allclose(again, image_of(out))
 
 
+def test_wanted_tiles_as_of_the_whole_images(spark):
+    """Only a part of the image is read, and what the tiles hold does not change; images may differ in size."""
+    from gridloom.plans import queries_learning
+
+    rng = np.random.default_rng(4)
+    im = raster.from_arrays(spark, {"a": rng.random((150, 90)), "b": rng.random((20, 9))})
+    model = queries_learning.fixed_model()
+    whole = cascade.test(im, model)
+    some = cascade.test_tiles(im, model, [(5, 0), (0, 1), (77, 0)], 16, ignore_bad=True)
+    for name in "ab":
+        want, got = image_of(whole, name), image_of(some, name)
+        inside = np.zeros(want.shape, bool)
+        inside[:16, 80:96] = inside[16:32, :16] = True
+        assert np.allclose(got, np.where(inside, want, 0.0))
+    assert 0 < cascade.reach(model) < 150 - 32
+    assert np.allclose(image_of(cascade.test_untiled(im, model), "b"), image_of(whole, "b"))
+    assert not image_of(cascade.test_tiles(im, model, [(77, 0)], 16, ignore_bad=True)).any()
+    assert cascade.test_tiles(im.filter("false"), model, [(0, 0)], 16).count() == 0
+    with pytest.raises(ValueError):
+        cascade.test_tiles(im, model, [(77, 0)], 16)
+
+
+def test_random_subset_of_repeated_keys(spark):
+    rows = spark.range(300).select((F.col("id") % 3).alias("k"), "id")
+    assert sampling.random_subset(rows, 120, 1, "k").count() == 120
+    assert sampling.random_subset(rows, 0, 1, "k").count() == 0 and sampling.random_subset(rows, 999, 1, "k").count() == 300
+    assert [r[0] for r in sampling.places(rows, 1, "k", "id").select("place").orderBy("place").collect()] == list(range(1, 301))
+
+
 def test_cascade_trains_on_the_whole_table(spark, tmp_path, monkeypatch):
     from gridloom.plans import queries_learning
 
