@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -81,6 +82,7 @@ def text_features(data: np.ndarray, off: np.ndarray, buckets: int) -> tuple[np.n
     size, count_words = np.maximum(np.diff(off), 1), np.maximum(np.diff(at), 1)
     same = np.zeros(len(words), bool)
     same[1:] = words[1:] == words[:-1]
+    same[at[:-1][at[:-1] < len(words)]] = False  # a text's first word has none before it
     most = np.zeros(n)
     has = where[1:] > where[:-1]
     if has.any():
@@ -93,3 +95,34 @@ def text_features(data: np.ndarray, off: np.ndarray, buckets: int) -> tuple[np.n
         most / count_words, of(length) / count_words, np.log1p(np.diff(off)),
     ], axis=1)
     return where, ids, count, stats
+
+
+def features_by_parts(data: np.ndarray, off: np.ndarray, buckets: int, most: int) -> Iterator[tuple[slice, tuple]]:
+    """text_features of runs of texts that have at most so many bytes together; a longer text is cut between words, and its parts'
+    features are added up."""
+    for part in _base.segments(np.diff(off), most):
+        o = off[part.start : part.stop + 1]
+        text = data[o[0] : o[-1]]
+        yield part, text_features(text, o - o[0], buckets) if len(text) <= most else _long_features(text, buckets, most)
+
+
+def _long_features(data: np.ndarray, buckets: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    starts, ends = _base.word_bounds(data, np.array([0, len(data)]))
+    first = np.searchsorted(starts, np.arange(most, len(data), most))
+    first = np.unique(first[first < len(starts)])
+    cuts = np.concatenate([[0], starts[first], [len(data)]]).astype(np.int64)
+    word = lambda i: _base.words_of(data[starts[i] : ends[i]], np.array([0, ends[i] - starts[i]]))[0][0]
+    total, stats = np.zeros(buckets, np.int64), np.zeros(STATS)
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        _, ids, count, one = text_features(data[a:b], np.array([0, b - a]), buckets)
+        total[ids] += count
+        words = max(1, int(count[ids < buckets // 2].sum()))
+        stats += one[0] * np.array([max(1, b - a)] * 6 + [words] * (STATS - 6))
+    ids = np.flatnonzero(total)
+    is_word = total[: buckets // 2]
+    words = max(1, int(is_word.sum()))
+    stats[9] += sum(bool(word(i) == word(i - 1)) for i in first if i)  # equal words on both sides of a cut
+    stats[:6] /= len(data)
+    stats[6:] /= words
+    stats[[10, 11, 13]] = (is_word > 0).sum() / words, is_word.max() / words, np.log1p(len(data))
+    return np.array([0, len(ids)]), ids, total[ids], stats[None, :]

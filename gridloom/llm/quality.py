@@ -16,7 +16,7 @@ from gridloom.llm import _base, labelled
 BUCKETS, BINS, RANK = 1 << 16, 12, 8
 THRESHOLD = 0.3
 EPOCHS, BATCH, RATE, SHRINK = 6, 64, 0.08, 1e-5
-#: Bytes of text that are worked on at once, unless a single text is longer.
+#: Bytes of text that are worked on at once; a longer text is cut between words.
 CHUNK = 1 << 20
 
 
@@ -55,9 +55,8 @@ class Machine:
 
     def scores(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         out = [np.zeros(0)]
-        for part in _base.segments(np.diff(off), CHUNK):
-            o = off[part.start : part.stop + 1]
-            z, _, _ = self.forward(*self.inputs(*labelled.text_features(data[o[0] : o[-1]], o - o[0], BUCKETS)))
+        for _, features in labelled.features_by_parts(data, off, BUCKETS, CHUNK):
+            z, _, _ = self.forward(*self.inputs(*features))
             out.append(1 / (1 + np.exp(-np.clip(z, -30, 30))))
         return np.concatenate(out)
 
@@ -103,9 +102,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, off = _base.texts_of(b.column(0))
-            for part in _base.segments(np.diff(off), CHUNK):
-                o = off[part.start : part.stop + 1]
-                where, ids, count, stats = labelled.text_features(data[o[0] : o[-1]], o - o[0], BUCKETS)
+            for part, (where, ids, count, stats) in labelled.features_by_parts(data, off, BUCKETS, CHUNK):
                 w = pa.array(where, pa.int32())
                 yield pa.record_batch([
                     b.column(1).slice(part.start, part.stop - part.start), pa.ListArray.from_arrays(w, pa.array(ids, pa.int32())),

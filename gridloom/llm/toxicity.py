@@ -133,11 +133,23 @@ class Network:
             out[has] = np.maximum.reduceat(self.logits(b), b.first[:-1][has])
         return out
 
+    def long_logit(self, data: np.ndarray) -> float:
+        """The same of one long text: runs of LANES windows one after the other, so that only some of its words are held as numbers."""
+        starts, ends = _base.word_bounds(data, np.array([0, len(data)]))
+        top, last = float(self.bias[0]) if not len(starts) else -np.inf, max(0, len(starts) - WINDOW)
+        for first in range(0, last + STRIDE if len(starts) else 0, LANES * STRIDE):
+            to = min(len(starts), first + (LANES - 1) * STRIDE + WINDOW)
+            part = data[starts[first] : ends[to - 1]]
+            top = max(top, float(self.text_logits(batch_of(part, np.array([0, len(part)])))[0]))
+        return top
+
     def scores(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         out = [np.zeros(0)]
         for part in _base.segments(np.diff(off), CHUNK):
             o = off[part.start : part.stop + 1]
-            out.append(1 / (1 + np.exp(-np.clip(self.text_logits(batch_of(data[o[0] : o[-1]], o - o[0])), -30, 30))))
+            text = data[o[0] : o[-1]]
+            z = self.text_logits(batch_of(text, o - o[0])) if len(text) <= CHUNK else np.array([self.long_logit(text)])
+            out.append(1 / (1 + np.exp(-np.clip(z, -30, 30))))
         return np.concatenate(out)
 
     def gradients(self, b: Batch, windows: np.ndarray, y: np.ndarray) -> dict:

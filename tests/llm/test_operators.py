@@ -525,6 +525,26 @@ def test_recurrent_network_as_a_plain_version():
     assert len(want) == 1 + -(-(75 - toxicity.WINDOW) // toxicity.STRIDE)
 
 
+def test_very_long_texts_in_parts(monkeypatch):
+    """As the same text at once: windows, and added features; a text's neighbours do not matter."""
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(60)] + ["x!!", "ABC", "é", "\n", "9"]
+    net = toxicity.Network(0.3, 5)
+    net.words[:] = rng.normal(0, 0.5, net.words.shape)
+    monkeypatch.setattr(toxicity, "LANES", 3)
+    for n in (0, 1, 31, 32, 33, 79, 80, 81, 500):
+        text = "  " + " ".join(rng.choice(words, n)) + " " * 40
+        data = np.frombuffer(text.encode(), np.uint8)
+        off = np.array([0, len(data)])
+        assert math.isclose(net.long_logit(data), net.text_logits(toxicity.batch_of(data, off))[0], abs_tol=1e-5), n
+        whole = labelled.text_features(data, off, 1 << 10)
+        for most in (16, 100, len(data)):
+            ((part, cut),) = labelled.features_by_parts(data, off, 1 << 10, most)
+            assert part == slice(0, 1) and all(np.allclose(a, b) for a, b in zip(whole, cut)), (n, most)
+    two = np.frombuffer(b"same word word other", np.uint8)
+    assert labelled.text_features(two, np.array([0, 10, 20]), 1 << 10)[3][1][9] == 0
+
+
 def test_training_rows_are_bounded(spark):
     df = spark.createDataFrame([(i % 40, f"text {i} " * 3) for i in range(400)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
