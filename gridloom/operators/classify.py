@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -257,16 +257,26 @@ def train(samples: DataFrame, p: Params, n: int) -> tuple[DataFrame, list[float]
     return spark.createDataFrame([(r["i"], r["j"], r["w"]) for r in got], "i int, j int, w array<double>"), list(got[0]["errors"])
 
 
+#: Bytes that the rows evaluated at once take.
+EVALUATED = 16 << 20
+
+
+def evaluation_bytes(n: int, groups: int, nodes: int) -> int:
+    """What the evaluation of one row takes: its features, and of each group its nodes' and its own output, as doubles."""
+    return 8 * (n + groups * (nodes + 1))
+
+
 def evaluated_in_batches(rows: DataFrame, weights: np.ndarray, dropout: bool, keep: list[str]) -> DataFrame:
     """keep and f by numpy in Arrow batches: for networks and features too wide for expressions. The weights are of fixed size."""
     workers_find_package(rows.sparkSession)
     sent = rows.sparkSession.sparkContext.broadcast(weights)
     schema = rows.select(*keep, F.lit(0.0).alias("f")).schema
+    step = max(1, EVALUATED // evaluation_bytes(weights.shape[2] - 1, *weights.shape[:2]))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             x = np.column_stack([np.stack(b["xs"].to_numpy()), np.ones(len(b))]) if len(b) else np.zeros((0, sent.value.shape[2]))
-            f = np.concatenate([np_forward(sent.value, x[a : a + 512], dropout)[2] for a in range(0, len(x), 512)]) if len(x) else np.zeros(0)
+            f = np.concatenate([np_forward(sent.value, x[a : a + step], dropout)[2] for a in range(0, len(x), step)]) if len(x) else np.zeros(0)
             yield b[keep].assign(f=f)
 
     return rows.select(*keep, "xs").mapInPandas(run, schema)
@@ -280,3 +290,22 @@ def weights_array(weights: DataFrame) -> np.ndarray:
 
 def weights_frame(spark: SparkSession, w: np.ndarray) -> DataFrame:
     return spark.createDataFrame([(i, j, w[i, j].tolist()) for i in range(w.shape[0]) for j in range(w.shape[1])], "i int, j int, w array<double>")
+
+
+@dataclass(frozen=True)
+class Classifier:
+    """What the cascade needs of a kind of classifier; its weights are an array, its parameters a dataclass."""
+
+    params: type
+    learn: Callable[[DataFrame, object, int], tuple[np.ndarray, list[float]]]
+    evaluate: Callable[[DataFrame, np.ndarray, object, list[str]], DataFrame]
+    bytes: Callable[[object, int], int]
+
+
+def _learned(samples: DataFrame, p: Params, n: int) -> tuple[np.ndarray, list[float]]:
+    weights, errors = train(samples, p, n)
+    return weights_array(weights), errors
+
+
+#: The kinds of classifiers by name; others may be added.
+CLASSIFIERS = {"ldnn": Classifier(Params, _learned, lambda rows, w, p, keep: evaluated_in_batches(rows, w, p.dropout, keep), lambda p, n: evaluation_bytes(n, p.groups, p.nodes))}

@@ -71,6 +71,11 @@ class SubModel:
     weights: np.ndarray | None = None
     off: np.ndarray | None = None
     scale: np.ndarray | None = None
+    kind: str = "ldnn"
+
+    @property
+    def classifier(self) -> classify.Classifier:
+        return classify.CLASSIFIERS[self.kind]
 
     @property
     def learned(self) -> bool:
@@ -95,7 +100,7 @@ class Model:
     submodels: dict[tuple[int, int], SubModel] = field(default_factory=dict)
 
     @classmethod
-    def create(cls, stages: int, levels: int, filters: object = ("intensity-stencil-10",), context_filters: object = ("intensity-stencil-7",), method: str = "median-mad", params: object = None) -> Model:
+    def create(cls, stages: int, levels: int, filters: object = ("intensity-stencil-10",), context_filters: object = ("intensity-stencil-7",), method: str = "median-mad", params: object = None, kind: object = "ldnn") -> Model:
         """Settings are one for all, a list by stage, or a list of lists by stage and level."""
         if stages < 2 or levels < 1:
             raise ValueError("at least two stages and one level")
@@ -110,7 +115,7 @@ class Model:
         model = cls(stages, levels)
         for s, k in model.order():
             p = of(params, s, k) if params is not None else classify.default_params(s, k)
-            model.submodels[s, k] = SubModel(s, k, of(filters, s, k), of(context_filters, s, k), method, p)
+            model.submodels[s, k] = SubModel(s, k, of(filters, s, k), of(context_filters, s, k), method, p, kind=of(kind, s, k))
         return model
 
     def order(self) -> list[tuple[int, int]]:
@@ -134,7 +139,7 @@ class Model:
         """Takes over learned submodels up to the first that does not fit; with another number of levels the first stage alone."""
         for s, k in self.order():
             mine, theirs = self.submodels[s, k], old.submodels.get((s, k))
-            same = theirs is not None and theirs.learned and (theirs.filters, theirs.context_filters, theirs.method, theirs.params) == (mine.filters, mine.context_filters, mine.method, mine.params)
+            same = theirs is not None and theirs.learned and (theirs.kind, theirs.filters, theirs.context_filters, theirs.method, theirs.params) == (mine.kind, mine.filters, mine.context_filters, mine.method, mine.params)
             if not same or (self.levels != old.levels and s > 1):
                 break
             self.submodels[s, k] = theirs
@@ -144,8 +149,8 @@ class Model:
         rows = []
         for (s, k), m in sorted(self.submodels.items()):
             shape = list(m.weights.shape) if m.learned else None
-            rows.append((s, k, self.stages, self.levels, list(m.filters), list(m.context_filters), m.method, json.dumps(asdict(m.params)), shape, m.weights.ravel().tolist() if m.learned else None, m.off.tolist() if m.learned else None, m.scale.tolist() if m.learned else None))
-        return spark.createDataFrame(rows, "stage int, level int, stages int, levels int, filters array<string>, context_filters array<string>, method string, params string, shape array<int>, weights array<double>, off array<double>, scale array<double>")
+            rows.append((s, k, self.stages, self.levels, list(m.filters), list(m.context_filters), m.method, m.kind, json.dumps(asdict(m.params)), shape, m.weights.ravel().tolist() if m.learned else None, m.off.tolist() if m.learned else None, m.scale.tolist() if m.learned else None))
+        return spark.createDataFrame(rows, "stage int, level int, stages int, levels int, filters array<string>, context_filters array<string>, method string, kind string, params string, shape array<int>, weights array<double>, off array<double>, scale array<double>")
 
     def save(self, spark: SparkSession, path: str) -> None:
         self.frame(spark).write.mode("overwrite").partitionBy("stage", "level").parquet(path)
@@ -155,8 +160,8 @@ class Model:
         rows = spark.read.parquet(path).collect()
         model = cls(rows[0]["stages"], rows[0]["levels"])
         for r in rows:
-            p = classify.Params(**json.loads(r["params"]))
-            m = SubModel(r["stage"], r["level"], tuple(r["filters"]), tuple(r["context_filters"]), r["method"], p)
+            p = classify.CLASSIFIERS[r["kind"]].params(**json.loads(r["params"]))
+            m = SubModel(r["stage"], r["level"], tuple(r["filters"]), tuple(r["context_filters"]), r["method"], p, kind=r["kind"])
             if r["weights"]:
                 m.weights, m.off, m.scale = np.array(r["weights"]).reshape(r["shape"]), np.array(r["off"]), np.array(r["scale"])
             model.submodels[r["stage"], r["level"]] = m
@@ -200,7 +205,7 @@ def shift(method: str, use: np.ndarray) -> np.ndarray:
 def outputs_of(sm: SubModel, rows: DataFrame, levels: int) -> DataFrame:
     """image_id, y, px: the submodel's probabilities as lines."""
     rows = normalized_rows(rows, sm.off, sm.scale, shift(sm.method, sm.normalized(levels)))
-    f = classify.evaluated_in_batches(rows, sm.weights, sm.params.dropout, ["image_id", "y", "x"])
+    f = sm.classifier.evaluate(rows, sm.weights, sm.params, ["image_id", "y", "x"])
     return schema.to_lines(f.withColumnRenamed("f", "v"))
 
 
@@ -221,6 +226,25 @@ def test(im: DataFrame, model: Model, tile: int = 64) -> DataFrame:
     return out
 
 
+def tile_bytes(model: Model, tile: int) -> int:
+    """What a task needs at most for a tile: the tile with its halo, and each pixel's features, twice, and their evaluation."""
+    most = 0
+    for sm in model.submodels.values():
+        halo, n = max(tilebank.filter_of(f)[0] for f in (*sm.filters, *sm.context_filters)), sm.features(model.levels)
+        most = max(most, 8 * (tile + 2 * halo) ** 2 + tile * tile * (16 * n + sm.classifier.bytes(sm.params, n)))
+    return most
+
+
+def tile_for(model: Model, memory: int) -> int:
+    """The largest tile, a multiple of 2**levels, that a task with so many bytes can work on."""
+    step, count = 1 << model.levels, 0
+    while tile_bytes(model, (count + 1) * step) <= memory:
+        count += 1
+    if not count:
+        raise ValueError(f"{memory} bytes are too few for tiles of {step} by {step}")
+    return count * step
+
+
 def reach(model: Model) -> int:
     """How far from a pixel of the result whatever it is made of lies at most: each submodel reads its halo and the taps of halving."""
     halo = lambda sm: max(tilebank.filter_of(n)[0] for n in (*sm.filters, *sm.context_filters))
@@ -284,9 +308,8 @@ def train(im: DataFrame, labels: DataFrame, model: Model, samples: int | None =
                 use = sm.normalized(model.levels)
                 sm.off, sm.scale = fit_norms(some, sm.method, use)
                 ready = normalized_rows(some, sm.off, sm.scale, shift(sm.method, use)).select("sample", "xs", "label").persist()
-                weights, errors = classify.train(ready, sm.params, len(use))
+                sm.weights, errors = sm.classifier.learn(ready, sm.params, len(use))
                 ready.unpersist()
-                sm.weights = classify.weights_array(weights)
                 if path:
                     model.save(spark, path)
             else:

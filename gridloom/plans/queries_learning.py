@@ -228,6 +228,18 @@ def model_order(spark, sf_dir):
     return spark.createDataFrame(rows, "stages int, levels int, place int, stage int, level int, contexts int, features int, normalized int")
 
 
+@query(
+    "WITH t AS (SELECT unnest(range(2, 2000, 2)) AS t), b AS (SELECT unnest([1048576, 16777216, 268435456]) AS memory), "
+    # features: haar and a square of radius 3, and a context of one pixel for each image below
+    "w AS (SELECT t, max(8 * (t + 16) * (t + 16) + t * t * (16 * (51 + k) + 8 * (51 + k + n * (m + 1)))) AS bytes FROM t, (VALUES (0, 10, 20), (1, 24, 24), (2, 10, 20)) AS v(k, n, m) GROUP BY t) "
+    "SELECT CAST(memory AS BIGINT) AS memory, CAST(max(t) AS INTEGER) AS tile FROM b JOIN w ON bytes <= memory GROUP BY memory"
+)
+def tile_plan(spark, sf_dir):
+    """The tiles that tasks of some sizes can work on."""
+    model = cascade.Model.create(2, 1, ("haar", "intensity-square-3"), ("intensity-square-0",))
+    return spark.createDataFrame([(m, cascade.tile_for(model, m)) for m in (1 << 20, 1 << 24, 1 << 28)], "memory long, tile int")
+
+
 @query()
 def cascade_train(spark, sf_dir):
     """Learns to find bright pixels of the whole image, from all pixels, and returns the metrics of each level."""

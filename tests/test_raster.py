@@ -230,6 +230,28 @@ def test_wanted_tiles_as_of_the_whole_images(spark):
         cascade.test_tiles(im, model, [(77, 0)], 16)
 
 
+def test_commands(spark, tmp_path):
+    from gridloom import __main__ as shell
+    from gridloom.plans import queries_learning
+
+    im = np.random.default_rng(6).random((12, 10))
+    for folder, image in (("images", im), ("labels", (im > 0.5).astype(float))):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "a.npy").write_bytes(raster.encode(image, "f64"))
+    model = queries_learning.fixed_model()
+    model.save(spark, f"{tmp_path}/model")
+    out = shell.main(["test", f"{tmp_path}/model", f"{tmp_path}/images", f"{tmp_path}/out"])
+    assert np.allclose(image_of(out, "a.npy"), image_of(cascade.test(raster.from_arrays(spark, {"a": im}), model)))
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 12
+    some = image_of(shell.main(["test", f"{tmp_path}/model", f"{tmp_path}/images", f"{tmp_path}/some", "--tiles", "0,0 1,0", "--tile", "4"]), "a.npy")
+    assert np.allclose(some[:4, :8], image_of(out, "a.npy")[:4, :8]) and not some[4:].any() and not some[:, 8:].any()
+    r = shell.main(["perf", f"{tmp_path}/labels", f"{tmp_path}/labels"]).first()
+    assert (r["tp"] + r["tn"], r["fp"], r["fn"], r["accuracy"]) == (120, 0, 0, 1.0)
+    assert [x["kind"] for x in shell.main(["model", f"{tmp_path}/model"]).collect()] == ["ldnn"] * 3
+    args = shell.parser().parse_args(["train", "m", "i", "l", "--stages", "3", "--filters", "haar"])
+    assert (args.stages, args.filters, args.samples, args.restart) == (3, "haar", 3_000_000, False)
+
+
 def test_random_subset_of_repeated_keys(spark):
     rows = spark.range(300).select((F.col("id") % 3).alias("k"), "id")
     assert sampling.random_subset(rows, 120, 1, "k").count() == 120
