@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +27,7 @@ def fold_of(doc_id: int | None) -> int:
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int = ROWS, size: int = BYTES) -> DataFrame:
     """text, label of a bounded sample of the labelled documents that are not held out: rows at most, as many as have size bytes
-    together, one for each id (the least text of an id that several rows have; null counts as empty)."""
+    together, one for each id (the least text of an id that several rows have; null counts as empty). All are in one partition."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (fold() != HELD_OUT))
     known = _base.smallest(known.groupBy("doc_id").agg(F.max(label).cast("int").alias("label")), rows, "doc_id")
     found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
@@ -34,6 +35,23 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int = RO
     return found.withColumn("_sum", F.sum(F.octet_length("text").cast("long")).over(before)).filter(F.col("_sum") <= size).select("text", "label")
 
 
+PARAMETERS = "name string, kind string, shape array<int>, data binary"
+
+
+def parameters(arrays: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """Arrays of fixed size as rows of PARAMETERS."""
+    rows = [(k, v.dtype.str, list(v.shape), np.ascontiguousarray(v).tobytes()) for k, v in arrays.items()]
+    kinds = (pa.string(), pa.string(), pa.list_(pa.int32()), pa.binary())
+    return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["name", "kind", "shape", "data"])
+
+
+def learned(rows: DataFrame, learn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> dict[str, np.ndarray]:
+    """The arrays that learn makes of training_rows, which one task has all of: the driver has neither the texts nor what learning
+    takes. None, if there are no rows."""
+    got = rows.mapInArrow(learn, PARAMETERS).toArrow().to_pylist()
+    return {r["name"]: np.frombuffer(r["data"], r["kind"]).reshape(r["shape"]).copy() for r in got}
+
+
 PUNCTUATION = np.array([not (b > 127 or chr(b).isalnum() or b in b" \t\n\r\x0b\x0c") for b in range(256)])
 UPPER = np.array([65 <= b <= 90 for b in range(256)])
 LOWER = np.array([97 <= b <= 122 for b in range(256)])

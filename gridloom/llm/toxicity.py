@@ -22,8 +22,8 @@ ROWS = 8_000
 #: Passes, and how many of them take windows of a text at random; windows of a step; step size.
 EPOCHS, SPREAD, BATCH, RATE = 6, 2, 64, 0.01
 CHUNK = 1 << 20
-#: Windows that go through the network at once.
-LANES = 4096
+#: Windows that go through the network at once, and that are cut at once.
+LANES, CUT = 4096, 1 << 15
 PARAMETERS = ("words", "pairs", "wx", "bx", "uf", "ub", "att", "out", "bias")
 
 
@@ -61,9 +61,12 @@ def batch_of(data: np.ndarray, off: np.ndarray) -> Batch:
     many = np.where(count > 0, 1 + np.maximum(0, -(-(count - WINDOW) // STRIDE)), 0)
     of = np.concatenate([[0], np.cumsum(many)])
     start = _base.ranges(np.zeros(len(count), np.int64), many) * STRIDE
-    place = start[:, None] + np.arange(WINDOW)
-    inside = place < np.repeat(count, many)[:, None]
-    windows = np.where(inside, index[np.minimum(np.repeat(at[:-1], many)[:, None] + place, max(len(index) - 1, 0))] if len(index) else 0, -1)
+    first_word, ends_at = np.repeat(at[:-1], many) + start, np.repeat(at[1:], many)
+    index, windows = index.astype(np.int32), np.full((len(start), WINDOW), -1, np.int32)
+    for part in (slice(a, a + CUT) for a in range(0, len(start), CUT)):
+        place = first_word[part, None] + np.arange(WINDOW)
+        inside = place < ends_at[part, None]
+        windows[part][inside] = index[place[inside]]
     return Batch((distinct % np.uint64(WORDS)).astype(np.int64), pairs, pair_off, windows, of)
 
 
@@ -239,10 +242,20 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 1) -> Network:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = ROWS) -> Network:
-    """Learns on the driver from a bounded sample of the labelled texts that are not held out."""
-    got = labelled.training_rows(docs, labels, label, rows).select(F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"), "label").toArrow()
-    pairs = sorted(zip(got.column("text").to_pylist(), got.column("label").to_pylist()))
-    return fit([t for t, _ in pairs], np.array([y for _, y in pairs], np.float64))
+    """Learns in one task from a bounded sample of the labelled texts that are not held out; the driver gets the parameters alone."""
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = sorted(p for b in batches for p in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+        net = fit([t for t, _ in pairs], np.array([y for _, y in pairs], np.float64))
+        yield labelled.parameters({k: getattr(net, k) for k in PARAMETERS})
+
+    _base.prepare(docs.sparkSession)
+    some = labelled.training_rows(docs, labels, label, rows).select(F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"), "label")
+    got = labelled.learned(some, learn)
+    net = fit([], np.zeros(0))  # without any rows no task learns
+    for k, v in got.items():
+        setattr(net, k, v)
+    return net
 
 
 def classify(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> DataFrame:

@@ -275,6 +275,16 @@ def test_classifiers_learn(spark):
         assert len(held) > 60 and sum(r.predicted == r[column] for r in held) > 0.9 * len(held)
 
 
+@pytest.mark.parametrize("module", [toxicity])
+def test_classifiers_learn_off_the_driver(spark, docs, none, labels, module, monkeypatch):
+    here, fit = [], module.fit
+    monkeypatch.setattr(module, "fit", lambda rows, *more: (here.append(len(rows)), fit(rows, *more))[1])  # a task appends to its own copy
+    got, empty = module.train(docs, labels), module.train(none, labels)
+    assert not any(here)
+    some = labelled.training_rows(docs, labels, {quality: "quality", toxicity: "toxic"}[module]).collect()
+    assert len(some) > 1 and np.isclose(empty.bias, 0).all() and np.isfinite(got.bias).all()
+
+
 def test_factorisation_identity():
     rng = np.random.default_rng(1)
     m = quality.Machine(0.3, rng.normal(0, 1, 40), rng.normal(0, 1, (40, 3)), np.zeros((1, 1)))
