@@ -97,33 +97,26 @@ def fit(rows: list[tuple], labels: np.ndarray, stats: np.ndarray, seed: int = 1)
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = labelled.ROWS) -> Machine:
-    """Features of a bounded sample are made by the executors and learned from on the driver."""
+    """Learns in one task from a bounded sample of the labelled texts that are not held out; the driver gets the parameters alone."""
 
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs, labels_, stats_ = [], [np.zeros(0)], [np.zeros((0, labelled.STATS))]
         for b in batches:
-            data, off = _base.texts_of(b.column(0))
-            for part, (where, ids, count, stats) in labelled.features_by_parts(data, off, BUCKETS, CHUNK):
-                w = pa.array(where, pa.int32())
-                yield pa.record_batch([
-                    b.column(1).slice(part.start, part.stop - part.start), pa.ListArray.from_arrays(w, pa.array(ids, pa.int32())),
-                    pa.ListArray.from_arrays(w, pa.array(count, pa.int32())), pa.ListArray.from_arrays(pa.array(np.arange(len(stats) + 1) * labelled.STATS, pa.int32()), pa.array(stats.ravel())),
-                ], names=["label", "ids", "counts", "stats"])
+            labels_.append(b.column(1).to_numpy().astype(np.float64))
+            for _, (where, ids, count, stats) in labelled.features_by_parts(*_base.texts_of(b.column(0)), BUCKETS, CHUNK):
+                ids, count = ids.astype(np.int32), count.astype(np.int32)
+                pairs += [(ids[a:z], count[a:z]) for a, z in zip(where[:-1], where[1:])]
+                stats_.append(stats)
+        y, stats = np.concatenate(labels_), np.concatenate(stats_)
+        by = sorted(range(len(y)), key=lambda i: (len(pairs[i][0]), tuple(pairs[i][0][:8].tolist()), y[i]))  # whatever the order of the rows
+        m = fit([pairs[i] for i in by], y[by], stats[by])
+        yield labelled.parameters({"bias": np.array(m.bias), "w": m.w, "v": m.v, "edges": m.edges})
 
     _base.prepare(docs.sparkSession)
-    got = labelled.training_rows(docs, labels, label, rows).mapInArrow(features, "label int, ids array<int>, counts array<int>, stats array<double>").toArrow()
-    y = got.column("label").to_numpy().astype(np.float64)
-    pairs = list(zip(*(_lists(got.column(c)) for c in ("ids", "counts"))))
-    stats = np.array(_lists(got.column("stats"))).reshape(-1, labelled.STATS)
-    by = sorted(range(len(y)), key=lambda i: (len(pairs[i][0]), tuple(pairs[i][0][:8].tolist()), y[i]))  # whatever the order of the rows
-    return fit([pairs[i] for i in by], y[by], stats[by])
-
-
-def _lists(column: pa.ChunkedArray) -> list[np.ndarray]:
-    out = []
-    for c in column.chunks:
-        flat, off = c.values.to_numpy(zero_copy_only=False), c.offsets.to_numpy()
-        out += [flat[a:b] for a, b in zip(off[:-1], off[1:])]
-    return out
+    got = labelled.learned(labelled.training_rows(docs, labels, label, rows), learn)
+    if not got:  # without any rows no task learns
+        return fit([], np.zeros(0), np.zeros((0, labelled.STATS)))
+    return Machine(float(got["bias"]), got["w"], got["v"], got["edges"])
 
 
 def score(docs: DataFrame, machine: Machine, keep: list[str]) -> DataFrame:

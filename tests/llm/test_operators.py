@@ -275,7 +275,7 @@ def test_classifiers_learn(spark):
         assert len(held) > 60 and sum(r.predicted == r[column] for r in held) > 0.9 * len(held)
 
 
-@pytest.mark.parametrize("module", [toxicity])
+@pytest.mark.parametrize("module", [quality, toxicity])
 def test_classifiers_learn_off_the_driver(spark, docs, none, labels, module, monkeypatch):
     here, fit = [], module.fit
     monkeypatch.setattr(module, "fit", lambda rows, *more: (here.append(len(rows)), fit(rows, *more))[1])  # a task appends to its own copy
