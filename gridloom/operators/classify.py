@@ -6,6 +6,7 @@ keeps the samples in a local file."""
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 from collections.abc import Callable, Iterator
@@ -90,7 +91,7 @@ def kmeans_step(samples: DataFrame, centres: DataFrame, n: int) -> tuple[DataFra
     new = means(near, "cluster", n).withColumnRenamed("cluster", "j")
     missing = centres.select("j").join(new, "j", "left_anti").orderBy("j").collect()
     if missing:
-        many = near.join(new.filter("n > 1").select(F.col("j").alias("cluster")), "cluster", "left_semi")
+        many = near.filter("d2 > 0").join(new.filter("n > 1").select(F.col("j").alias("cluster")), "cluster", "left_semi")
         far = many.orderBy(F.desc("d2"), "sample").limit(len(missing)).collect()
         moved = {m["j"]: r["xs"] for m, r in zip(missing, far)}
         rows = [(r["j"], moved.get(r["j"], r["c"])) for r in centres.collect()]
@@ -103,12 +104,84 @@ def kmeans_step(samples: DataFrame, centres: DataFrame, n: int) -> tuple[DataFra
     return samples.sparkSession.createDataFrame(rows, "j int, c array<double>"), total
 
 
+#: Samples of so many bytes at most are clustered in one task: passes over them are far shorter than jobs.
+CLUSTERED = 128 << 20
+
+
+def np_nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest centre of each row and the squared distance. Where products leave it open within rounding, differences decide."""
+    near, d2 = np.empty(len(x), np.int64), np.empty(len(x))
+    size = (centres * centres).sum(1)
+    for at in range(0, len(x), 2048):
+        p = x[at : at + 2048]
+        rough = size - 2 * (p @ centres.T)
+        best = rough.argmin(1)
+        slack = 1e-9 * ((p * p).sum(1) + size.max())
+        close = np.flatnonzero((rough <= rough.min(1, keepdims=True) + slack[:, None]).sum(1) > 1)
+        best[close] = ((p[close][:, None] - centres) ** 2).sum(2).argmin(1)
+        near[at : at + 2048], d2[at : at + 2048] = best, ((p - centres[best]) ** 2).sum(1)
+    return near, d2
+
+
+def np_kmeans_step(ids: np.ndarray, x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, float]:
+    """kmeans_step in numpy."""
+    while True:
+        near, d2 = np_nearest(x, centres)
+        count = np.bincount(near, minlength=len(centres))
+        missing = np.flatnonzero(count == 0)
+        if not len(missing):
+            return np.stack([x[near == j].mean(0) for j in range(len(centres))]), float(d2.mean())
+        many = np.flatnonzero((count[near] > 1) & (d2 > 0))
+        far = many[np.lexsort((ids[many], -d2[many]))][: len(missing)]
+        if not len(far):
+            return centres, float(d2.mean())
+        centres = centres.copy()
+        centres[missing[: len(far)]] = x[far]
+
+
+def np_kmeans_ml(ids: np.ndarray, x: np.ndarray, k: int, seed: int, most: int, coarse: int, least: int) -> tuple[np.ndarray, float]:
+    """kmeans_ml in numpy, with the same draws."""
+    drawn = np.array(sorted(range(len(x)), key=lambda i: (hashlib.md5(f"{seed}:{ids[i]}".encode()).hexdigest(), ids[i])))
+    third = (len(x) + coarse // 2) // coarse
+    if third < least or third < k:
+        centres = x[drawn[:k]]
+    else:
+        some = np.sort(drawn[:third])
+        centres, _ = np_kmeans_ml(ids[some], x[some], k, seed + 1, most, coarse, least)
+    before, error = None, None
+    for _ in range(most):
+        old = centres
+        centres, error = np_kmeans_step(ids, x, old)
+        if before is not None and error >= before and np.array_equal(centres, old):
+            break
+        before = error
+    return centres, error
+
+
+def _clustered(samples: DataFrame, k: int, n: int, *how: int) -> tuple[DataFrame, float]:
+    """kmeans_ml of samples that one task can hold, in the order of their numbers."""
+    workers_find_package(samples.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, parts = [], []
+        for b in batches:
+            ids.append(b.column(0).to_numpy(zero_copy_only=False))
+            parts.append(b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, n))
+        centres, error = np_kmeans_ml(np.concatenate(ids), np.concatenate(parts), k, *how)
+        yield pa.record_batch([pa.array(range(k), pa.int32()), pa.array(centres.tolist(), pa.list_(pa.float64())), pa.array([error] * k)], names=["j", "c", "error"])
+
+    got = samples.select("sample", "xs").repartition(1).sortWithinPartitions("sample").mapInArrow(run, "j int, c array<double>, error double").collect()
+    return samples.sparkSession.createDataFrame([(r["j"], r["c"]) for r in got], "j int, c array<double>"), got[0]["error"]
+
+
 def kmeans_ml(samples: DataFrame, k: int, n: int, seed: int = 1, most: int = 100, coarse: int = 3, least: int = 50) -> tuple[DataFrame, float]:
     """Multilevel k-means: the centres of a random third, found likewise, begin; a small set begins with random samples. Ends when
     neither error nor centres change. Returns j, c and the mean squared distance."""
     count = samples.count()
     if count < k:
         raise ValueError(f"{count} samples are too few for {k} clusters")
+    if 8 * n * count <= CLUSTERED:
+        return _clustered(samples, k, n, seed, most, coarse, least)
     third = (count + coarse // 2) // coarse
     if third < least or third < k:
         rows = sampling.shuffled(samples, seed, "sample").limit(k).collect()

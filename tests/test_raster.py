@@ -371,3 +371,17 @@ def test_classes_of_repeated_keys_keep_their_rows(spark):
     df = spark.range(9000).select(F.when(F.col("id") < 6000, 1).otherwise(F.col("id")).alias("k"), (F.col("id") < 6000).alias("label"))
     got = {r.label: r["count"] for r in sampling.per_class(df, 20, 1, "label", "k").groupBy("label").count().collect()}
     assert got == {True: 20, False: 20}
+
+
+@pytest.mark.parametrize("k, odd", [(4, False), (5, True)])
+def test_clusters_in_one_task_are_those_of_many(spark, monkeypatch, k, odd):
+    x = np.random.default_rng(4).normal(0, 1, (170, 3)).round(1)
+    if odd:
+        x[:] = x[0]  # fewer distinct samples than clusters
+        x[80:] += 1
+    rows = spark.createDataFrame([(i * 7, v.tolist()) for i, v in enumerate(x)], "sample long, xs array<double>").persist()
+    centres, error = classify.kmeans_ml(rows, k, 3, 1, 4)
+    one = np.array([r["c"] for r in centres.orderBy("j").collect()])
+    monkeypatch.setattr(classify, "CLUSTERED", 0)
+    centres, other = classify.kmeans_ml(rows, k, 3, 1, 4)
+    assert np.allclose(one, np.array([r["c"] for r in centres.orderBy("j").collect()])) and np.isclose(error, other)
