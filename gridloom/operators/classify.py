@@ -297,10 +297,26 @@ class FileRows:
         return np.frombuffer(b"".join(os.pread(self.file, size, size * i) for i in take.tolist())).reshape(len(take), self.width)
 
 
-def train(samples: DataFrame, p: Params, n: int) -> tuple[DataFrame, list[float]]:
-    """Initial weights from clusters of both classes, then descent in one task over all samples."""
-    spark = samples.sparkSession
-    workers_find_package(spark)
+def np_start(ids: np.ndarray, rows: FileRows, classes: list[np.ndarray], p: Params, n: int) -> np.ndarray:
+    """Initial weights in numpy from the places of the rows of both classes, in their order: every downsample-th of a class is
+    clustered, if there are many."""
+    centres = []
+    for mine, k in zip(classes, (p.groups, p.nodes)):
+        at = mine[:: p.downsample] if len(mine) > k * p.downsample else mine
+        x = rows[at][:, :n]
+        dev = x.std(0)
+        dev[dev < 1e-10] = 1.0
+        x = x / dev
+        got = min((np_kmeans_ml(ids[at], x, k, p.seed + 100 * r, 100, 3, 50) for r in range(p.repeats)), key=lambda c: c[1])
+        centres.append(got[0] * dev)
+    a, b = centres[0][:, None], centres[1][None]
+    norm = np.sqrt(((a - b) ** 2).sum(2, keepdims=True))
+    u = (a - b) / np.where(norm > 0, norm, 1.0)
+    return np.concatenate([u, -0.5 * ((a + b) * u).sum(2, keepdims=True)], 2)
+
+
+def _start(samples: DataFrame, p: Params, n: int) -> np.ndarray:
+    """np_start by jobs, for classes that a task cannot hold."""
     centres = []
     for positive, k in ((True, p.groups), (False, p.nodes)):
         mine = samples.withColumn("mine", F.col("label") == positive)
@@ -311,23 +327,48 @@ def train(samples: DataFrame, p: Params, n: int) -> tuple[DataFrame, list[float]
         white.unpersist()
         centres.append(got[0].crossJoin(F.broadcast(dev)).select("j", F.zip_with("c", "dev", lambda c, s: c * s).alias("c")))
     start = sorted((r["i"], r["j"], r["w"]) for r in init_weights(*centres).collect())
-    w0 = np.array([r[2] for r in start]).reshape(p.groups, p.nodes, n + 1)
+    return np.array([r[2] for r in start]).reshape(p.groups, p.nodes, n + 1)
+
+
+def trained(samples: DataFrame, p: Params, n: int) -> tuple[np.ndarray, list[float]]:
+    """Initial weights from clusters of both classes, then descent over all samples, both in one task, which reads the samples once;
+    only classes of which more than CLUSTERED bytes are clustered take jobs for it. Returns the weights and each pass's error."""
+    workers_find_package(samples.sparkSession)
+    held = {r["label"]: r["n"] for r in samples.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    clustered = 0
+    for positive, k in ((True, p.groups), (False, p.nodes)):
+        rows = held.get(positive, 0)
+        if rows < k:
+            raise ValueError(f"{rows} rows are too few for {k} clusters")
+        clustered = max(clustered, rows if rows <= k * p.downsample else -(-rows // p.downsample))
+    start = _start(samples, p, n) if 8 * n * clustered > CLUSTERED else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with tempfile.TemporaryFile() as file:
-            labels = [np.zeros(0, bool)]
+            ids, labels, known = [np.zeros(0, np.int64)], [np.zeros(0, bool)], [np.zeros(0, bool)]
             for b in batches:
                 x = b.column(0).flatten().to_numpy().reshape(-1, n)
                 file.write(np.column_stack([x, np.ones(len(x))]).tobytes())
-                labels.append(b.column(1).to_numpy(zero_copy_only=False).astype(bool))
+                labels.append(b.column(1).fill_null(False).to_numpy(zero_copy_only=False))
+                known.append(b.column(1).is_valid().to_numpy(zero_copy_only=False))
+                ids.append(b.column(2).to_numpy(zero_copy_only=False))
             file.flush()
             y = np.concatenate(labels)
-            w, errors = descend(w0, FileRows(file.fileno(), len(y), n + 1), y, p)
-        at = [(i, j) for i in range(w.shape[0]) for j in range(w.shape[1])]
-        yield pa.record_batch([pa.array([i for i, _ in at], pa.int32()), pa.array([j for _, j in at], pa.int32()), pa.array([w[k].tolist() for k in at], pa.list_(pa.float64())), pa.array([errors for _ in at], pa.list_(pa.float64()))], names=["i", "j", "w", "errors"])
+            rows = FileRows(file.fileno(), len(y), n + 1)
+            w0 = start
+            if w0 is None:
+                w0 = np_start(np.concatenate(ids), rows, [np.flatnonzero(y), np.flatnonzero(~y & np.concatenate(known))], p, n)
+            w, errors = descend(w0, rows, y, p)
+        yield pa.record_batch([pa.array([w.ravel().tolist()], pa.list_(pa.float64())), pa.array([errors], pa.list_(pa.float64()))], names=["w", "errors"])
 
-    got = samples.select("xs", "label", "sample").repartition(1).sortWithinPartitions("sample").select("xs", "label").mapInArrow(run, "i int, j int, w array<double>, errors array<double>").collect()
-    return spark.createDataFrame([(r["i"], r["j"], r["w"]) for r in got], "i int, j int, w array<double>"), list(got[0]["errors"])
+    got = samples.select("xs", "label", "sample").repartition(1).sortWithinPartitions("sample").mapInArrow(run, "w array<double>, errors array<double>").first()
+    return np.array(got["w"]).reshape(p.groups, p.nodes, n + 1), list(got["errors"])
+
+
+def train(samples: DataFrame, p: Params, n: int) -> tuple[DataFrame, list[float]]:
+    """trained, with the weights as a table."""
+    w, errors = trained(samples, p, n)
+    return weights_frame(samples.sparkSession, w), errors
 
 
 #: Bytes that the rows evaluated at once take.
@@ -375,10 +416,5 @@ class Classifier:
     bytes: Callable[[object, int], int]
 
 
-def _learned(samples: DataFrame, p: Params, n: int) -> tuple[np.ndarray, list[float]]:
-    weights, errors = train(samples, p, n)
-    return weights_array(weights), errors
-
-
 #: The kinds of classifiers by name; others may be added.
-CLASSIFIERS = {"ldnn": Classifier(Params, _learned, lambda rows, w, p, keep: evaluated_in_batches(rows, w, p.dropout, keep), lambda p, n: evaluation_bytes(n, p.groups, p.nodes))}
+CLASSIFIERS = {"ldnn": Classifier(Params, trained, lambda rows, w, p, keep: evaluated_in_batches(rows, w, p.dropout, keep), lambda p, n: evaluation_bytes(n, p.groups, p.nodes))}

@@ -396,3 +396,21 @@ def test_untiled_images_beyond_a_tasks_memory_are_cut(spark, monkeypatch):
     monkeypatch.setattr(tilebank, "bank", lambda lines, names, tile, **more: (seen.append(tile), bank(lines, names, tile, **more))[1])
     monkeypatch.setattr(cascade, "UNTILED", cascade.tile_bytes(model, 16))
     assert np.allclose(image_of(cascade.test_untiled(im, model)), want) and set(seen) == {16}
+
+
+def test_training_in_one_task_is_that_of_jobs(spark, monkeypatch):
+    x = np.random.default_rng(8).normal(0, 1, (300, 4))
+    rows = [(i * 3, v.tolist(), bool(v[0] > 0.2) if i % 50 else None) for i, v in enumerate(x)]
+    rows = spark.createDataFrame(rows, "sample long, xs array<double>, label boolean").persist()
+    rows.count()
+    p = classify.Params(groups=2, nodes=3, passes=2, batch=20, repeats=2)
+    spark.sparkContext.setJobGroup("train", "train")
+    one, errors = classify.trained(rows, p, 4)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("train"))
+    spark.sparkContext.setJobGroup("", "")
+    assert jobs <= 8  # the driver plans and keeps every job
+    monkeypatch.setattr(classify, "CLUSTERED", 0)
+    many, others = classify.trained(rows, p, 4)
+    assert np.allclose(one, many) and np.allclose(errors, others)
+    with pytest.raises(ValueError):
+        classify.trained(rows.filter("label"), p, 4)
