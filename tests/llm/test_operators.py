@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from gridloom.llm import _base, ann, exact, hmm, labelled, mixing, near, packing, quality, repeats, sharding, toxicity
+from gridloom.llm import _base, ann, exact, hmm, labelled, mixing, near, packing, quality, queries, repeats, sharding, toxicity
 
 random.seed(3)
 WORDS = ["ab", "Cd", "efg", "hij", "kl", "mnop", "qr", "st", "uvw", "xyz", "é", "ñu"]
@@ -245,6 +245,25 @@ def test_repeats_as_brute_force(spark, docs, none, monkeypatch, length):
     assert repeats.report(none, length).count() == 0 and repeats.cut(none, length).count() == 0
 
 
+def test_op9_returns_what_is_left(spark, tmp_path):
+    rng = random.Random(11)
+    words = lambda n: " ".join(rng.choice(WORDS) + str(rng.randrange(9999)) for _ in range(n))
+    long, short, odd = words(110), words(30), "é" * 300
+    rows = [(1, f"{words(40)} {long} {words(40)}"), (2, f"{words(9)} {long}"), (3, f"{short} {words(99)}"), (4, f"{words(70)} {short}"), (5, f"è{odd}a"), (6, f"¨{odd}b"), (7, None), (8, ""), (8, words(70))]
+    assert len(long.encode()) > 400 > len(short.encode())
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op9_suffix_dedup(spark, str(tmp_path))
+    assert got.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"]
+    got = got.collect()
+    want = [(i, *x) for (i, _), x in zip(rows, brute_repeats([(t or "").encode() for _, t in rows], 400))]
+    assert sorted(tuple(r)[:5] for r in got) == sorted(want)
+    assert not any(long in r.text for r in got) and sum(short in r.text for r in got) == 2
+    assert all(r.text == next(t or "" for i, t in rows if i == r.doc_id and len((t or "").encode()) == r.n_bytes) for r in got if not r.n_removed)
+    assert all(hashlib.sha256(r.text.encode()).hexdigest() == r.kept_sha256 for r in got if r.doc_id not in (5, 6))
+    (cut,) = (r for r in got if r.doc_id == 6)  # its first character ends with the byte that ends the other text's
+    assert cut.text == "b" and cut.kept_sha256 == hashlib.sha256(b"\xc2b").hexdigest()
+
+
 @pytest.mark.parametrize("op, column", [(quality.classify, "quality"), (toxicity.classify, "toxic")])
 def test_classifiers_on_odd_rows(spark, docs, none, labels, op, column):
     got = op(docs, labels).collect()
