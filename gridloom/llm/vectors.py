@@ -28,10 +28,10 @@ def clean(df: DataFrame, zero: bool) -> DataFrame:
     return rows.filter(F.size("v") == most[0]["d"]) if most else rows
 
 
-def sample(rows: DataFrame, most: int) -> np.ndarray:
-    """A bounded sample, the rows with the smallest hashes of their ids."""
+def sample(rows: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of a bounded sample, the rows with the smallest hashes of their ids."""
     got = _base.smallest(rows.select("vec_id", "v"), most, "vec_id").toArrow().sort_by("vec_id")
-    return matrix(got.column("v"))
+    return got.column("vec_id").to_numpy(), matrix(got.column("v"))
 
 
 def matrix(column: pa.Array) -> np.ndarray:

@@ -477,6 +477,29 @@ def test_approximate_search(spark, vectors):
     assert ann.search(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["lengths", "clusters", "near copies", "tails"])
+def test_approximate_search_misses_no_nearest_of_other_vectors(spark, monkeypatch, kind):
+    monkeypatch.setattr(ann, "BLOCK", 1500)
+    rng = np.random.default_rng(14)
+    x = rng.normal(size=(4000, 32))
+    if kind == "lengths":
+        x *= np.exp(2 * rng.normal(size=(4000, 1)))
+    elif kind == "clusters":
+        x = rng.normal(size=(25, 32))[rng.integers(0, 25, 4000)] + 0.3 * x
+    elif kind == "near copies":
+        x[::2] = x[0] + 1e-4 * x[::2]
+        x[1000:1400:2] = x[0]
+    else:
+        x = rng.standard_t(1.5, size=(4000, 32))
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in ann.search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
+    want = {}
+    for q in range(0, 4000, 20):
+        s = (x * x[q]).sum(1)
+        s[q] = -np.inf
+        want |= {(q, i + 1): (int(j), float(s[j])) for i, j in enumerate(np.lexsort((np.arange(4000), -s))[:20])}
+    assert got == want
+
+
 def test_approximate_search_of_few_vectors_returns_all(spark):
     x = np.random.default_rng(12).normal(size=(12, 8))
     ids = [0, 1, 2, 3, 4, 5, 20, 7, 8, 9, 10, 10]
