@@ -7,7 +7,7 @@ keeps the samples in a local file."""
 from __future__ import annotations
 
 import hashlib
-import os
+import mmap
 import tempfile
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
@@ -106,56 +106,90 @@ def kmeans_step(samples: DataFrame, centres: DataFrame, n: int) -> tuple[DataFra
 
 #: Samples of so many bytes at most are clustered in one task: passes over them are far shorter than jobs.
 CLUSTERED = 128 << 20
+#: The task that trains clusters so many times as much, from local files.
+FILED = 32
+
+
+#: Rows that k-means and descent take from a file at once.
+TAKEN = 4096
+
+
+def np_nearest(p: np.ndarray, size: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The nearest centre of each of some rows, whose squared lengths are given. Where products leave it open within rounding,
+    differences decide."""
+    own = (centres * centres).sum(1)
+    rough = own[:, None] - 2 * (centres @ p.T)
+    best, low, second = np.zeros(len(p), np.int64), rough[0], np.full(len(p), np.inf)
+    for j in range(1, len(centres)):
+        less = rough[j] < low
+        best[less] = j
+        second = np.minimum(second, np.maximum(rough[j], low))
+        low = np.minimum(low, rough[j])
+    close = np.flatnonzero(second <= low + 1e-9 * (size + own.max()))
+    if len(close):
+        best[close] = ((p[close][:, None] - centres) ** 2).sum(2).argmin(1)
+    return best
 
 
-def np_nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The nearest centre of each row and the squared distance. Where products leave it open within rounding, differences decide."""
+def np_distances(x: np.ndarray, size: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest centre of each row and the squared distance."""
     near, d2 = np.empty(len(x), np.int64), np.empty(len(x))
-    size = (centres * centres).sum(1)
-    for at in range(0, len(x), 2048):
-        p = x[at : at + 2048]
-        rough = size - 2 * (p @ centres.T)
-        best = rough.argmin(1)
-        slack = 1e-9 * ((p * p).sum(1) + size.max())
-        close = np.flatnonzero((rough <= rough.min(1, keepdims=True) + slack[:, None]).sum(1) > 1)
-        best[close] = ((p[close][:, None] - centres) ** 2).sum(2).argmin(1)
-        near[at : at + 2048], d2[at : at + 2048] = best, ((p - centres[best]) ** 2).sum(1)
+    for at in range(0, len(x), TAKEN):
+        p = x[at : at + TAKEN]
+        near[at : at + TAKEN] = best = np_nearest(p, size[at : at + TAKEN], centres)
+        d2[at : at + TAKEN] = ((p - centres[best]) ** 2).sum(1)
     return near, d2
 
 
-def np_kmeans_step(ids: np.ndarray, x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, float]:
-    """kmeans_step in numpy."""
+def np_kmeans_step(ids: np.ndarray, x: np.ndarray, size: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """kmeans_step in numpy: the new centres, and those that rows were nearest to, of which empty ones moved."""
     while True:
-        near, d2 = np_nearest(x, centres)
-        count = np.bincount(near, minlength=len(centres))
+        count, sums = np.zeros(len(centres)), np.zeros(centres.shape)
+        for at in range(0, len(x), TAKEN):
+            p = x[at : at + TAKEN]
+            mine = (np_nearest(p, size[at : at + TAKEN], centres) == np.arange(len(centres))[:, None]).astype(float)
+            count += mine.sum(1)
+            sums += mine @ p
         missing = np.flatnonzero(count == 0)
         if not len(missing):
-            return np.stack([x[near == j].mean(0) for j in range(len(centres))]), float(d2.mean())
+            return sums / count[:, None], centres
+        near, d2 = np_distances(x, size, centres)
         many = np.flatnonzero((count[near] > 1) & (d2 > 0))
         far = many[np.lexsort((ids[many], -d2[many]))][: len(missing)]
         if not len(far):
-            return centres, float(d2.mean())
+            return centres, centres
         centres = centres.copy()
         centres[missing[: len(far)]] = x[far]
 
 
+def filed(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The rows of x at those places; many are in a local file, of which only what is read is in memory."""
+    if 8 * len(at) * x.shape[1] <= EVALUATED:
+        return np.array(x[at])
+    with tempfile.TemporaryFile() as file:
+        for a in range(0, len(at), TAKEN):
+            file.write(x[at[a : a + TAKEN]].tobytes())
+        file.flush()
+        return np.frombuffer(mmap.mmap(file.fileno(), 0, prot=mmap.PROT_READ)).reshape(len(at), x.shape[1])
+
+
 def np_kmeans_ml(ids: np.ndarray, x: np.ndarray, k: int, seed: int, most: int, coarse: int, least: int) -> tuple[np.ndarray, float]:
     """kmeans_ml in numpy, with the same draws."""
-    drawn = np.array(sorted(range(len(x)), key=lambda i: (hashlib.md5(f"{seed}:{ids[i]}".encode()).hexdigest(), ids[i])))
+    drawn = np.frombuffer(b"".join(hashlib.md5(f"{seed}:{i}".encode()).digest() for i in ids.tolist()), ">u8").reshape(-1, 2)
+    drawn = np.lexsort((ids, drawn[:, 1], drawn[:, 0]))
     third = (len(x) + coarse // 2) // coarse
     if third < least or third < k:
         centres = x[drawn[:k]]
     else:
         some = np.sort(drawn[:third])
-        centres, _ = np_kmeans_ml(ids[some], x[some], k, seed + 1, most, coarse, least)
-    before, error = None, None
+        centres, _ = np_kmeans_ml(ids[some], filed(x, some), k, seed + 1, most, coarse, least)
+    size, old = np.concatenate([(x[a : a + TAKEN] ** 2).sum(1) for a in range(0, len(x), TAKEN)]), centres
     for _ in range(most):
-        old = centres
-        centres, error = np_kmeans_step(ids, x, old)
-        if before is not None and error >= before and np.array_equal(centres, old):
+        before = centres
+        centres, old = np_kmeans_step(ids, x, size, before)
+        if np.array_equal(centres, before):  # so the error will not change either
             break
-        before = error
-    return centres, error
+    return centres, float(np_distances(x, size, old)[1].mean())
 
 
 def _clustered(samples: DataFrame, k: int, n: int, *how: int) -> tuple[DataFrame, float]:
@@ -262,39 +296,54 @@ def descend(w: np.ndarray, x: np.ndarray, y: np.ndarray, p: Params) -> tuple[np.
     """Stochastic gradient descent with momentum in minibatches, in an order that the seed fixes; with dropout each batch trains half
     of the groups and half of their nodes. Returns the weights and each pass's error."""
     rng = np.random.default_rng(p.seed)
-    w, speed, errors = w.copy(), np.zeros_like(w), []
+    w, speed, errors = np.array(w, order="C"), np.zeros(w.shape), []
     goal = np.where(y, TARGET_HIGH, TARGET_LOW)
     n, m = w.shape[:2]
+    many = p.batch * max(1, TAKEN // p.batch)
     for _ in range(p.passes):
         order, total = rng.permutation(len(x)), 0.0
-        for at in range(0, len(x), p.batch):
-            take = order[at : at + p.batch]
-            rows = np.sort(rng.permutation(n)[: max(1, n // 2)]) if p.dropout else np.arange(n)
-            nodes = np.sort(rng.permutation(m)[: max(1, m // 2)]) if p.dropout else np.arange(m)
-            active = np.ix_(rows, nodes)
-            s, g, f = np_forward(w[active], x[take])
-            off = goal[take] - f
-            total += float((off * off).sum())
-            c3 = (-2 * off * (1 - f))[:, None] * g / (1 - np.minimum(g, 1 - 1e-16))
-            grad = np.einsum("sij,sk->ijk", c3[:, :, None] * (1 - s), x[take])
-            speed[active] = grad + p.momentum * speed[active]
-            w[active] -= p.rate * speed[active]
+        for first in range(0, len(x), many):
+            taken = order[first : first + many]
+            block, aims = x[taken], goal[taken]
+            for at in range(0, len(taken), p.batch):
+                b, part = block[at : at + p.batch], w
+                if p.dropout:
+                    active = np.ix_(np.sort(rng.permutation(n)[: max(1, n // 2)]), np.sort(rng.permutation(m)[: max(1, m // 2)]))
+                    part = w[active]
+                # np_forward in fewer calls: batches are small and many
+                z = b @ part.reshape(-1, w.shape[2]).T
+                np.maximum(np.minimum(z, SIGMOID_HIGH, out=z), SIGMOID_LOW, out=z)
+                s = (1 / (1 + np.exp(-z))).reshape(len(b), *part.shape[:2])
+                g = np.multiply.reduce(s, axis=2)
+                rest = np.multiply.reduce(1 - g, axis=1)
+                off = aims[at : at + p.batch] - 1 + rest
+                total += float(off @ off)
+                c3 = (-2 * off * rest)[:, None] * g / (1 - np.minimum(g, 1 - 1e-16))
+                grad = ((c3[:, :, None] * (1 - s)).reshape(len(b), -1).T @ b).reshape(part.shape)
+                if p.dropout:
+                    speed[active] = grad + p.momentum * speed[active]
+                    w[active] -= p.rate * speed[active]
+                else:
+                    speed *= p.momentum
+                    speed += grad
+                    w -= p.rate * speed
         errors.append(float(np.sqrt(total / max(len(x), 1))))
     return w, errors
 
 
 class FileRows:
-    """Rows of doubles in an open file, read by number: descent visits all in random order, however many there are."""
+    """Rows of doubles in an open file, read by number, or by place in an order: descent visits all in random order, however many
+    there are. The file is mapped, so the machine keeps in memory what there is room for."""
 
-    def __init__(self, file: int, rows: int, width: int):
-        self.file, self.rows, self.width = file, rows, width
+    def __init__(self, file: int, rows: int, width: int, order: np.ndarray | None = None):
+        self.data = np.frombuffer(mmap.mmap(file, 0, prot=mmap.PROT_READ)).reshape(rows, width) if rows else np.zeros((0, width))
+        self.order, self.shape = order, (rows, width)
 
     def __len__(self) -> int:
-        return self.rows
+        return self.shape[0]
 
     def __getitem__(self, take: np.ndarray) -> np.ndarray:
-        size = 8 * self.width
-        return np.frombuffer(b"".join(os.pread(self.file, size, size * i) for i in take.tolist())).reshape(len(take), self.width)
+        return self.data[take if self.order is None else self.order[take]]
 
 
 def np_start(ids: np.ndarray, rows: FileRows, classes: list[np.ndarray], p: Params, n: int) -> np.ndarray:
@@ -303,10 +352,11 @@ def np_start(ids: np.ndarray, rows: FileRows, classes: list[np.ndarray], p: Para
     centres = []
     for mine, k in zip(classes, (p.groups, p.nodes)):
         at = mine[:: p.downsample] if len(mine) > k * p.downsample else mine
-        x = rows[at][:, :n]
-        dev = x.std(0)
+        parts = lambda at=at: (rows[at[a : a + TAKEN]][:, :n] for a in range(0, len(at), TAKEN))
+        mean = sum(x.sum(0) for x in parts()) / len(at)
+        dev = np.sqrt(sum(((x - mean) ** 2).sum(0) for x in parts()) / len(at))
         dev[dev < 1e-10] = 1.0
-        x = x / dev
+        x = filed(Whitened(rows, dev), at)
         got = min((np_kmeans_ml(ids[at], x, k, p.seed + 100 * r, 100, 3, 50) for r in range(p.repeats)), key=lambda c: c[1])
         centres.append(got[0] * dev)
     a, b = centres[0][:, None], centres[1][None]
@@ -315,6 +365,16 @@ def np_start(ids: np.ndarray, rows: FileRows, classes: list[np.ndarray], p: Para
     return np.concatenate([u, -0.5 * ((a + b) * u).sum(2, keepdims=True)], 2)
 
 
+class Whitened:
+    """The first components of rows over their deviations."""
+
+    def __init__(self, rows: FileRows, dev: np.ndarray):
+        self.rows, self.dev, self.shape = rows, dev, (len(rows), len(dev))
+
+    def __getitem__(self, take: np.ndarray) -> np.ndarray:
+        return self.rows[take][:, : len(self.dev)] / self.dev
+
+
 def _start(samples: DataFrame, p: Params, n: int) -> np.ndarray:
     """np_start by jobs, for classes that a task cannot hold."""
     centres = []
@@ -332,7 +392,8 @@ def _start(samples: DataFrame, p: Params, n: int) -> np.ndarray:
 
 def trained(samples: DataFrame, p: Params, n: int) -> tuple[np.ndarray, list[float]]:
     """Initial weights from clusters of both classes, then descent over all samples, both in one task, which reads the samples once;
-    only classes of which more than CLUSTERED bytes are clustered take jobs for it. Returns the weights and each pass's error."""
+    what is clustered is in local files, and only beyond FILED times CLUSTERED bytes of a class it takes jobs, of which there are
+    some for each step. Returns the weights and each pass's error."""
     workers_find_package(samples.sparkSession)
     held = {r["label"]: r["n"] for r in samples.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     clustered = 0
@@ -341,7 +402,7 @@ def trained(samples: DataFrame, p: Params, n: int) -> tuple[np.ndarray, list[flo
         if rows < k:
             raise ValueError(f"{rows} rows are too few for {k} clusters")
         clustered = max(clustered, rows if rows <= k * p.downsample else -(-rows // p.downsample))
-    start = _start(samples, p, n) if 8 * n * clustered > CLUSTERED else None
+    start = _start(samples, p, n) if 8 * n * clustered > FILED * CLUSTERED else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with tempfile.TemporaryFile() as file:
@@ -354,14 +415,17 @@ def trained(samples: DataFrame, p: Params, n: int) -> tuple[np.ndarray, list[flo
                 ids.append(b.column(2).to_numpy(zero_copy_only=False))
             file.flush()
             y = np.concatenate(labels)
-            rows = FileRows(file.fileno(), len(y), n + 1)
+            ids = np.concatenate(ids)
+            order = np.argsort(ids, kind="stable")
+            y = y[order]
+            rows = FileRows(file.fileno(), len(y), n + 1, order)
             w0 = start
             if w0 is None:
-                w0 = np_start(np.concatenate(ids), rows, [np.flatnonzero(y), np.flatnonzero(~y & np.concatenate(known))], p, n)
+                w0 = np_start(ids[order], rows, [np.flatnonzero(y), np.flatnonzero(~y & np.concatenate(known)[order])], p, n)
             w, errors = descend(w0, rows, y, p)
         yield pa.record_batch([pa.array([w.ravel().tolist()], pa.list_(pa.float64())), pa.array([errors], pa.list_(pa.float64()))], names=["w", "errors"])
 
-    got = samples.select("xs", "label", "sample").repartition(1).sortWithinPartitions("sample").mapInArrow(run, "w array<double>, errors array<double>").first()
+    got = samples.select("xs", "label", "sample").repartition(1).mapInArrow(run, "w array<double>, errors array<double>").first()
     return np.array(got["w"]).reshape(p.groups, p.nodes, n + 1), list(got["errors"])
 
 

@@ -416,6 +416,21 @@ def test_training_in_one_task_is_that_of_jobs(spark, monkeypatch):
         classify.trained(rows.filter("label"), p, 4)
 
 
+def test_training_takes_few_jobs_however_large_its_classes(spark, monkeypatch):
+    x = np.random.default_rng(9).normal(0, 1, (300, 4))
+    rows = spark.createDataFrame([(i * 3, v.tolist(), bool(v[0] > 0.2)) for i, v in enumerate(x)], "sample long, xs array<double>, label boolean").persist()
+    p = classify.Params(groups=2, nodes=3, passes=2, batch=20)
+    want, _ = classify.trained(rows, p, 4)
+    monkeypatch.setattr(classify, "CLUSTERED", 100)  # less than what is clustered of a class
+    monkeypatch.setattr(classify, "EVALUATED", 0)
+    monkeypatch.setattr(classify, "TAKEN", 7)
+    spark.sparkContext.setJobGroup("large", "large")
+    got, _ = classify.trained(rows, p, 4)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("large"))
+    spark.sparkContext.setJobGroup("", "")
+    assert jobs <= 8 and np.allclose(got, want)
+
+
 def test_percentiles_of_arrays_are_those_of_rows(spark):
     rng = np.random.default_rng(6)
     x = np.column_stack([rng.normal(0, 1, 90), rng.integers(0, 2, 90) - 0.5, np.where(rng.random(90) < 0.6, -0.0, 0.0), rng.integers(-3, 3, 90), 1e-300 * rng.normal(0, 1, 90)])
